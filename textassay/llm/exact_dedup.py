@@ -7,9 +7,8 @@ follows the digit and go to the next round. Texts are compared byte by byte and
 geometrically, so the longest text takes a logarithmic number of rounds.
 
 A round counts its groups with map-side combining, so a group holding a third of the corpus is a few partial rows;
-only groups of two or more rows are kept, staged and joined back to the undecided texts. That join is a broadcast
-behind a counted size, and otherwise a shuffled hash join on two plain exchanges, which adaptive execution splits
-where one group is hot.
+only groups of two or more rows are kept, staged and joined back to the undecided texts. That join is a
+shuffled hash join on two plain exchanges, which adaptive execution splits where one group is hot.
 
 Defined results: a null text is an empty text; null ids never win over others (a group of only null ids has a null
 keep_id and keeps its rows); rows repeating the id and text of the row that stays are marked dropped but one;
@@ -27,7 +26,7 @@ from .common import documents, small_side, stage, unstage
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_width: int = 32, growth: int = 32, max_width: int = 1 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_width: int = 256, growth: int = 16, max_width: int = 1 << 20
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -43,7 +42,7 @@ def exact_dedup(
             "radix-groups",
         )
         split = stage(
-            keyed.join(small_side(groups, width + 64), ["gid", "digit"], "left").select(
+            keyed.join(groups.hint("shuffle_hash"), ["gid", "digit"], "left").select(
                 "id",
                 "sha",
                 F.coalesce("n", F.lit(1).cast("long")).alias("n"),
