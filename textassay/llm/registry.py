@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import op9_fingerprints
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .quality import op5_quality
 from .secrets import op4_secrets
 from .simhash import op2_simhash
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
     "op9_fingerprints": op9_fingerprints,
 }
 

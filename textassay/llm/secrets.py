@@ -225,12 +225,16 @@ def _listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in BASE]))
     return secret_spans(documents(spark, sf_dir, "doc_id", "text")).select(
         "doc_id",
-        *(F.size(F.filter(spans, lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE),
+        *(F.size(F.filter(spans, _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE),
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(spans).alias("spans"),
     )
