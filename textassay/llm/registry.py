@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import op9_fingerprints
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .html_text import op7_html_text
 from .packing import op6_packing
 from .quality import op5_quality
 from .secrets import op4_secrets
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_html_text": op7_html_text,
     "op9_fingerprints": op9_fingerprints,
 }
 
