@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunks import op9_fingerprints
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op7_html_text
+from .mixing import op3_mixing
 from .packing import op6_packing
 from .quality import op5_quality
 from .secrets import op4_secrets
@@ -17,6 +18,7 @@ from .simhash import op2_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
