@@ -11,6 +11,7 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op7_html_text
 from .mixing import op3_mixing
 from .packing import op6_packing
+from .pitman_yor import op10_language_model
 from .quality import op5_quality
 from .secrets import op4_secrets
 from .simhash import op2_simhash
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
     "op9_fingerprints": op9_fingerprints,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
