@@ -13,6 +13,7 @@ from .mixing import op3_mixing
 from .packing import op6_packing
 from .pitman_yor import op10_language_model
 from .quality import op5_quality
+from .repeats import op8_repeats
 from .secrets import op4_secrets
 from .simhash import op2_simhash
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
+    "op8_repeats": op8_repeats,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_model": op10_language_model,
 }
