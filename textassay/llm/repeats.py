@@ -363,7 +363,7 @@ def _by_block(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, block_bytes: int = 24 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the remaining bytes as `kept`."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
