@@ -1,4 +1,4 @@
-"""Every named query with its SQL oracle, gathered from the operator modules."""
+"""Every named query with its SQL oracle, gathered from the query modules."""
 
 from __future__ import annotations
 
@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import text_queries
 
-MODULES: list = []
+MODULES = (text_queries,)
 
 
-def queries() -> dict[str, Query]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for m in MODULES for name, q in m.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
+    return {name: q for m in MODULES for name, q in m.query.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
