@@ -184,8 +184,8 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT doc_id, source, round(0.5 * (1.0 - {CONSISTENCY}) + 0.3 * repetition + 0.2 * (1.0 - diversity), 9) AS risk,
     len(list_filter(regexp_extract_all(text, '{_re2("email")}'), lambda v: NOT ({_FALSE["email"]}))) > 0 AS pii FROM ({SCORES_SQL})),
   q AS (SELECT round(quantile_cont(risk, 0.9), 9) AS t FROM s JOIN labels l ON s.doc_id = l.doc_id WHERE quality = 1)
-  SELECT source, count(*) AS n, count_if(risk <= t) AS accepted, count_if(risk > t AND risk <= t + 0.05) AS escalated, count_if(risk > t + 0.05) AS rejected,
-    count_if(pii) AS with_pii, round(avg(risk), 6) AS mean_risk FROM s, q GROUP BY source""")
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE risk <= t) AS accepted, count(*) FILTER (WHERE risk > t AND risk <= t + 0.05) AS escalated, count(*) FILTER (WHERE risk > t + 0.05) AS rejected,
+    count(*) FILTER (WHERE pii) AS with_pii, round(avg(risk), 6) AS mean_risk FROM s, q GROUP BY source""")
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By source: documents accepted, escalated and rejected by calibrated text risk, and those with e-mail addresses."""
     docs = scores(table(spark, sf_dir, "documents")).select(
