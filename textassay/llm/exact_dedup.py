@@ -76,12 +76,12 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each different text, with docs' columns."""
     decided = stage(exact_dedup(docs.select(id_col, text_col), id_col, text_col), "exact-decided")
-    gone = decided.filter("not kept").select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    stays = decided.filter("kept").select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    twice = gone.join(stays, ["gone_id", "gone_sha"], "left_semi")  # ids repeated with their text: one row of each stays
+    gone = decided.filter("not kept").select(F.col(id_col).alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    stays = decided.filter("kept").select(F.col(id_col).alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"))
+    twice = gone.join(stays, ["__gone_id", "__gone_sha"], "left_semi")  # ids repeated with their text: one row of each stays
     sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
     marked = docs.withColumn("__sha", sha)
-    on = lambda right: marked[id_col].eqNullSafe(right["gone_id"]) & (marked["__sha"] == right["gone_sha"])
+    on = lambda right: marked[id_col].eqNullSafe(right["__gone_id"]) & (marked["__sha"] == right["__gone_sha"])
     gone = stage(gone, "exact-gone")
     kept = marked.join(small_side(gone, 128), on(gone), "left_anti").drop("__sha")
     twice = stage(twice, "exact-twice")

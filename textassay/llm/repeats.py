@@ -86,12 +86,8 @@ def _slice_ranges(data: bytes, starts: np.ndarray, lens: np.ndarray, span: int)
     count = bounds[np.searchsorted(bounds, first, side="right")] - first
     last = first + count - 1
     # samples standing twice in a range's bytes
-    above = np.zeros(len(h32), U)
-    above[width - 1 : len(least)] = _most(least, width) if len(least) >= width else 0
-    edge = min(width - 1, len(least))
-    above[:edge] = np.maximum.accumulate(least[:edge])
-    tail = np.maximum.accumulate(least[::-1][: width - 1])[::-1]
-    above[len(least) :] = tail[-(len(h32) - len(least)) :] if len(h32) > len(least) else tail[:0]
+    pad = np.zeros(width - 1, U)
+    above = ~_least(~np.concatenate([pad, least, pad]), width)  # the largest of the least names over each 32-byte string
     where = np.flatnonzero(h32 == above)
     lo, hi = np.searchsorted(where, first), np.searchsorted(where, last + width)
     each = np.repeat(np.arange(len(first)), hi - lo)
@@ -105,10 +101,6 @@ def _slice_ranges(data: bytes, starts: np.ndarray, lens: np.ndarray, span: int)
     return sample, context, first, count, twice | (count > span), names
 
 
-def _most(names: np.ndarray, width: int) -> np.ndarray:
-    return ~_least(~names, width)
-
-
 BLOCKS = "block bigint, docs bigint, size bigint, lens binary, text binary"
 
 
@@ -153,8 +145,8 @@ def _read_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 class Block:
     """A block's texts and the ranges of their windows; positions count bytes from the block's start."""
 
-    def __init__(self, row: dict, span: int):
-        self.span = span
+    def __init__(self, row: dict, span: int, piece: int = SLICE):
+        self.span, self.piece = span, piece
         self.data = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(1, row["size"])) if row["size"] else b""
         self.lens = unpack(row["lens"], np.uint64).astype(np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
@@ -170,11 +162,11 @@ class Block:
         for s, n in zip(self.starts.tolist(), self.lens.tolist()):
             if n < self.span:
                 continue
-            if n > SLICE:
-                for a in range(0, n - self.span + 1, SLICE):
-                    yield s + a, np.array([0]), np.array([min(SLICE + self.span - 1, n - a)])
+            if n > self.piece:
+                for a in range(0, n - self.span + 1, self.piece):
+                    yield s + a, np.array([0]), np.array([min(self.piece + self.span - 1, n - a)])
                 continue
-            if base is not None and s + n - base > SLICE:
+            if base is not None and s + n - base > self.piece:
                 yield base, np.array(starts), np.array(lens)
                 base = None
             if base is None:
@@ -363,7 +355,7 @@ def _by_block(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, block_bytes: int = 8 << 20, slice_bytes: int = SLICE, with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the remaining bytes as `kept`."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -376,14 +368,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield from _send(row, *Block(row, span).ask_ranges(), buckets)
+            yield from _send(row, *Block(row, span, slice_bytes).ask_ranges(), buckets)
 
     asked = blocks.select("block", "size", "lens", "text", "keys").mapInArrow(ask_ranges, ASK)
     ranges = stage(asked.repartition(width, "bucket").groupBy("bucket").applyInPandas(_decide_ranges, ANSWER), "repeat-ranges")
     known = blocks.join(_by_block(ranges, "r"), "block", "left")
 
     def heard(row: dict) -> Block:
-        block = Block(row, span)
+        block = Block(row, span, slice_bytes)
         block.hear_ranges(_heard(row["r"], block.sample[block.head[block.asked]], buckets))
         return block
 

@@ -140,13 +140,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, dense: int = 64) -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the smallest id (rows repeating that id once)."""
     classes = stage(near_classes(docs.select(id_col, text_col), id_col, text_col, size, dense), "simhash-groups")
-    gone = stage(classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct(), "simhash-gone")
-    kept = docs.join(small_side(gone, 32), docs[id_col] == F.col("gone_id"), "left_anti")
-    twice = stage(classes.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("twice_id")), "simhash-twice")
+    gone = stage(classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone_id")).distinct(), "simhash-gone")
+    kept = docs.join(small_side(gone, 32), docs[id_col] == F.col("__gone_id"), "left_anti")
+    twice = stage(classes.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__twice_id")), "simhash-twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, kept[id_col] == F.col("twice_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, kept[id_col] == F.col("twice_id"), "left_anti").unionByName(again)
+    again = kept.join(twice, kept[id_col] == F.col("__twice_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, kept[id_col] == F.col("__twice_id"), "left_anti").unionByName(again)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
