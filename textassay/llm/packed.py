@@ -31,3 +31,22 @@ def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def ranged(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash, and where each of so many equal ranges of hashes begins. For hashes that are evenly spread."""
+    order = np.arange(len(hashes)) if (hashes[1:] >= hashes[:-1]).all() else np.argsort(hashes)
+    bounds = np.array([min((k << 64) // buckets, (1 << 64) - 1) for k in range(buckets)], dtype=np.uint64)
+    return order, np.append(np.searchsorted(hashes[order], bounds), len(hashes))
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, the place of each one's first holder, and every key's number among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    at = np.empty(len(s), np.int64)
+    at[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return s[starts], np.minimum.reduceat(order, starts) if len(starts) else starts, at
