@@ -215,19 +215,22 @@ def test_language_model_empty(spark):
     assert none[0].train_tokens == 0 and np.isfinite(none[0].score)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
+    """The whole run, with the table written after each stage looked at."""
     corpus = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
-    sf = "/root/testdata/sf0.001"
-    from textassay.llm.common import stage
-
-    rows = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = [rows.count()]
-    for name, f in corpus.STAGES[:-1]:
-        rows = stage(f(spark, rows, sf), name)
-        assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        sizes.append(rows.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[2] == rows.sparkSession.read.parquet(f"{sf}/documents.parquet").limit(0).count() or sizes[-1] > 0
+    sf, written, stage = "/root/testdata/sf0.001", [], corpus.stage
+
+    def kept(df, label):
+        written.append(stage(df, label))
+        return written[-1]
+
+    monkeypatch.setattr(corpus, "stage", kept)
     packed = corpus.run(spark, sf).toPandas()
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert all(df.columns == columns for df in written[:-1])
+    sizes = [spark.read.parquet(f"{sf}/documents.parquet").count(), *(df.count() for df in written[:-1])]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    assert written[1].select("text").distinct().count() == sizes[2]
     check_packing(packed, 4096)
-    assert set(packed.doc_id) == {r.doc_id for r in rows.select("doc_id").collect()}
+    assert set(packed.doc_id) == {r.doc_id for r in written[3].select("doc_id").collect()}
