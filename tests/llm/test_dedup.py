@@ -124,3 +124,51 @@ def test_near_classes_cases(spark):
     assert found == sorted([(5, 5), (6, 5), (7, 7), (8, 7), (9, 7), (9, 7), (None, 5), (10, 10)], key=repr)
     kept = S.drop_near_copies(frame(spark, [r for r in rows if r[0] is not None]))
     assert sorted(r.doc_id for r in kept.collect()) == [5, 7, 10] and kept.columns == frame(spark, rows).columns
+
+
+def jaccard_kept(rows, size=5):
+    """The ids that brute force keeps: the smallest of every component of pairs of similarity 0.8."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if (not x and not y) or 9 * len(x & y) >= 4 * (len(x) + len(y)) > 0:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("dense", [2, 64])
+def test_drop_near_copies_reaches_a_similarity_of_0_8(spark, dense, monkeypatch):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for length in (1, 4, 5, 6, 9, 14, 30, 80, 150, 300):
+        for _ in range(4):
+            base = rng.choices(vocabulary, k=length)
+            texts += [base, base[: max(1, length * 8 // 10)], base + ["end"], *(edited(rng, base, k) for k in (1, 2, 3, 5))]
+    crowd, line = rng.choices(vocabulary, k=120), rng.choices(vocabulary, k=9)
+    texts += [edited(rng, crowd, rng.randrange(5)) for _ in range(60)] + [line + rng.choices(vocabulary, k=rng.randrange(1, 60)) for _ in range(60)]
+    rows = list(enumerate((" ".join(t) for t in texts), 1)) + [(900, None), (901, " ")]
+    monkeypatch.setattr("textassay.llm.near_copies.BLOCK_SETS", 16)
+    kept = S.drop_near_copies(frame(spark, rows), dense=dense)
+    assert sorted(r.doc_id for r in kept.collect()) == jaccard_kept(rows)

@@ -30,6 +30,7 @@ from xxhash import xxh64_intdigest
 
 from .common import documents, small_side, stage, unstage
 from .components import connected_components
+from .near_copies import similar_classes
 
 SEED = 42
 MOST_BITS = 2
@@ -138,8 +139,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, dense: int = 64) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest id (rows repeating that id once)."""
-    classes = stage(near_classes(docs.select(id_col, text_col), id_col, text_col, size, dense), "simhash-groups")
+    """docs with one document of each group linked by a shingle similarity of 0.8, the one with the smallest id (rows repeating that id once)."""
+    classes = stage(similar_classes(docs.select(id_col, text_col), id_col, text_col, size, dense), "simhash-groups")
     gone = stage(classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone_id")).distinct(), "simhash-gone")
     kept = docs.join(small_side(gone, 32), docs[id_col] == F.col("__gone_id"), "left_anti")
     twice = stage(classes.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__twice_id")), "simhash-twice")
