@@ -50,3 +50,11 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
     assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "bench.py"))
+
+
+def test_whole_boxes_use_every_dimension(spark, tmp_path):
+    """Vectors that differ only after the third dimension fall into boxes of their own."""
+    rows = [(k, [0.0, 0.0, 0.0, *(float(k >> d & 1) for d in range(4)), 5.0], 1) for k in range(16)] + [(99, [1.0] * 8, 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(tuple(r) for r in QUERIES["voxel_counts_whole"](spark, str(tmp_path)).select("label", "scale", "boxes").collect())
+    assert found == [(1, 2, 16), (1, 4, 16), (1, 8, 16), (2, 2, 1), (2, 4, 1), (2, 8, 1)]

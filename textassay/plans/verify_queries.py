@@ -206,6 +206,23 @@ def voxel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("label", "scale", F.struct(at(0).alias("a"), at(1).alias("b"), at(2).alias("c")).alias("cell")).groupBy("label", "scale").agg(F.count_distinct("cell").alias("boxes"))
 
 
+@query("""WITH e AS (SELECT label, vec_id, d, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings) WINDOW w AS (PARTITION BY label, d)),
+  g AS (SELECT label, vec_id, s, list(least(floor(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END * s), s - 1)::BIGINT ORDER BY d) AS cell FROM e, (SELECT unnest([2, 4, 8]) AS s) GROUP BY 1, 2, 3)
+  SELECT label, s::INT AS scale, count(DISTINCT cell) AS boxes FROM g GROUP BY 1, 2""")
+def voxel_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied boxes of all dimensions, scaled to each label's range, at three scales."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    each = e.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    span = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "lo", "hi"))).alias("span"))
+    joined = e.join(F.broadcast(span), "label").withColumn("scale", F.explode(F.array(*map(F.lit, _GRIDS))))  # one row a label
+
+    def at(x, k):
+        lo, hi = F.col("span")[k]["lo"], F.col("span")[k]["hi"]
+        return F.least(F.floor(F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.0) * F.col("scale")), F.col("scale") - 1).cast("int")
+
+    return joined.select("label", "scale", F.transform("v", at).alias("cell")).groupBy("label", "scale").agg(F.count_distinct("cell").alias("boxes"))
+
+
 @query("""WITH u AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)
   SELECT a.label, round(avg(list_dot_product(a.v, b.v)), 6) AS mean_cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1""")
 def mean_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
