@@ -108,10 +108,10 @@ def test_streams_match_batches(spark, tmp_path):
 def test_stateful_streams(spark, tmp_path):
     e = _copies(spark, tmp_path)
     stream = P.read_events(spark, f"file://{tmp_path}/in", 10).filter("event_id % 10 != 0")
-    P.run_once(P.stateful_ewma(stream), f"file://{tmp_path}/c4", "means", "update")
+    P.run_once(P.stateful_ewma(stream), f"file://{tmp_path}/c4", "means", "update", limit_s=300)
     batch = D.ewma(e.filter("event_id % 10 != 0").select("user_id", "ts", "event_id", "value"), "value", ["ts", "event_id"], 0.3, "user_id")
     assert {r.user_id: round(r.ewma, 6) for r in spark.table("means").collect()} == {r.user_id: round(r.ewma, 6) for r in batch.collect()}
-    P.run_once(P.stateful_quota(stream, 3), f"file://{tmp_path}/c5", "quota")
+    P.run_once(P.stateful_quota(stream, 3), f"file://{tmp_path}/c5", "quota", limit_s=300)
     assert spark.table("quota").filter("admitted").count() < spark.table("quota").count() == e.filter("event_id % 10 != 0").count()
 
 

@@ -41,27 +41,41 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stateful_ewma(events: DataFrame, alpha: float = 0.3, idle_ms: int = 14 * 86_400_000) -> DataFrame:
-    """Each user's exponentially weighted mean after every batch; the state of idle users expires."""
+def _expires(frame_ms: int, state: GroupState, idle_ms: int) -> int:
+    """When a state seen at frame_ms expires, in event time; never behind the watermark."""
+    return max(frame_ms, state.getCurrentWatermarkMs()) + idle_ms
+
+
+def _last_ms(frame: pd.DataFrame, before: int) -> int:
+    return max(before, int(frame["ts"].max().timestamp() * 1000)) if len(frame) else before
+
+
+def stateful_ewma(events: DataFrame, alpha: float = 0.3, idle_ms: int = 14 * 86_400_000, late: str = "1 day") -> DataFrame:
+    """Each user's exponentially weighted mean after every batch; the state of users idle in event time expires, and
+    events later than `late` are left out."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         n, mean = state.get if state.exists else (0, 0.0)
+        last = 0
         for frame in frames:
+            last = _last_ms(frame, last)
             for v in frame.sort_values(["ts", "event_id"])["value"]:
                 mean = float(v) if n == 0 else alpha * float(v) + (1 - alpha) * mean
                 n += 1
         state.update((n, mean))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(_expires(last, state, idle_ms))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ewma": [mean]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, n bigint, ewma double", "n bigint, ewma double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    grouped = events.withWatermark("ts", late).groupBy("user_id")
+    return grouped.applyInPandasWithState(update, "user_id bigint, n bigint, ewma double", "n bigint, ewma double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def stateful_quota(events: DataFrame, quota: int, idle_ms: int = 2 * 86_400_000) -> DataFrame:
-    """Events with admitted: the first quota of a user within 24 hours of the first one, anchored anew after that."""
+def stateful_quota(events: DataFrame, quota: int, idle_ms: int = 2 * 86_400_000, late: str = "1 day") -> DataFrame:
+    """Events with admitted: the first quota of a user within 24 hours of the first one, anchored anew after that.
+    Events later than `late` are left out."""
     day = 86_400_000_000
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,7 +83,9 @@ def stateful_quota(events: DataFrame, quota: int, idle_ms: int = 2 * 86_400_000)
             state.remove()
             return
         anchor, used = state.get if state.exists else (None, 0)
+        last = 0
         for frame in frames:
+            last = _last_ms(frame, last)
             frame = frame.sort_values(["ts", "event_id"])
             out = []
             for t in frame["ts"].astype("int64") // 1000:
@@ -80,9 +96,10 @@ def stateful_quota(events: DataFrame, quota: int, idle_ms: int = 2 * 86_400_000)
             yield pd.DataFrame({"event_id": frame["event_id"], "user_id": frame["user_id"], "admitted": out})
         if anchor is not None:
             state.update((anchor, used))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(_expires(last, state, idle_ms))
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "event_id bigint, user_id bigint, admitted boolean", "anchor bigint, used bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    grouped = events.withWatermark("ts", late).groupBy("user_id")
+    return grouped.applyInPandasWithState(update, "event_id bigint, user_id bigint, admitted boolean", "anchor bigint, used bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def routed_sink(accepted: str, rejected: str, good: Column) -> Callable[[DataFrame, int], None]:
@@ -97,7 +114,9 @@ def routed_sink(accepted: str, rejected: str, good: Column) -> Callable[[DataFra
     return write
 
 
-def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> None:
-    """Drain what is there into the in-memory table name."""
+def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "append", limit_s: float = 3600.0) -> None:
+    """Drain what is there into the in-memory table name; a query that has not ended within limit_s is stopped with an error."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    if not q.awaitTermination(limit_s):
+        q.stop()
+        raise TimeoutError(f"stream {name} did not drain within {limit_s} s")
