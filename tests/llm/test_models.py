@@ -53,6 +53,40 @@ def test_margins_and_probabilities(spark):
     assert set(again[again.sampled].doc_id) == set(found[found.sampled].doc_id)
 
 
+def test_absent_targets_are_refused(spark):
+    with pytest.raises(ValueError, match="gone"):
+        M.mixture(docs(spark, mixed_rows(50)), targets={"source": {"hot": 0.2, "b": 0.3, "gone": 0.5}})
+    assert M.mixture(docs(spark, []), targets={"source": {"gone": 1.0}}).count() == 0
+    import pandas as pd
+
+    cells = pd.DataFrame([("a", "x", "t", 10), ("b", "y", "t", 30)], columns=["source", "lang", "topic", "tokens"])
+    factor, met = M.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, sweeps=20)
+    assert not met and np.isfinite(factor).all()
+    assert M.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.9, "y": 0.1}})[1]
+
+
+def test_probabilities_meet_the_share():
+    rnd = np.random.default_rng(3)
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        factor, tokens = rnd.lognormal(size=200), rnd.integers(1, 1000, 200)
+        p = M.calibrated(factor, tokens, share)
+        assert abs((p * tokens).sum() - share * tokens.sum()) < 1e-6 * tokens.sum() and (p <= 1).all()
+        free = p < 1
+        assert np.allclose(p[free] / factor[free], (p[free] / factor[free])[:1]) if free.any() else True
+    assert M.calibrated(np.array([0.0, 2.0]), np.array([5, 5]), 0.9).tolist() == [0.0, 1.0]
+
+
+def test_topics_follow_the_words(spark):
+    rnd = random.Random(4)
+    themes = [[f"{a}{i}" for i in range(30)] for a in ("sea", "law", "oil")]
+    rows = [(i, " ".join(rnd.choices(themes[i % 3], k=40) + rnd.choices(["the", "of"], k=20)), "en", "s") for i in range(300)] + [(900, "zzz", "en", "s"), (901, None, "en", "s")]
+    found = {r.doc_id: r.topic for r in M.mixture(docs(spark, rows)).collect()}
+    of = [{found[i] for i in range(k, 300, 3)} for k in range(3)]
+    assert not (of[0] & of[1] or of[0] & of[2] or of[1] & of[2]) and found[900] == found[901] == "none"
+    again = {r.doc_id: r.topic for r in M.mixture(docs(spark, rows).repartition(5)).collect()}
+    assert again == found
+
+
 def test_given_targets(spark):
     found = M.mixture(docs(spark, mixed_rows()), share=0.3, targets={"source": {"hot": 0.2, "b": 0.5, "": 0.3}}).toPandas()
     got = (found.n_tokens * found.factor).groupby(found.source).sum() / found.n_tokens.sum()
