@@ -148,6 +148,32 @@ def test_packing_levels_and_genes(spark, monkeypatch):
     assert sorted(i for b in best for i in b) == list(range(120)) and all(world.fill(b) <= 100 for b in best) and len(best) <= len(first[0])
     half = spark.createDataFrame([(i, 51) for i in range(200)], "rid long, length long")
     assert P.pack(half, 100).select("sequence_id").distinct().count() == 200
+    quarter = spark.createDataFrame([(i, 24) for i in range(401)], "rid long, length long")  # 96 of 100 at best
+    found = quarter.join(P.pack(quarter, 100), "rid").toPandas()
+    check_packing(found, 100)
+    assert found.sequence_id.nunique() == 101  # no shard keeps a part-filled last sequence of its own
+    assert P.pack(items.limit(0), 100).count() == 0
+
+
+def test_evolution_beats_best_fit():
+    """Instances whose lower bound best fit misses: sequences of exactly three items, found by crossover and mutation."""
+    won = 0
+    for seed in range(6):
+        rnd, sizes = random.Random(seed), []
+        for _ in range(20):
+            a = rnd.randint(260, 400)
+            b = rnd.randint(260, 1000 - a - 260)
+            sizes += [a, b, 1000 - a - b]
+        rnd.shuffle(sizes)
+        world = P.Island(sizes, 1000, seed)
+        founders = world.founders(5)
+        crossed, cross = [], world.cross
+        world.cross = lambda *p: crossed.append(1) or cross(*p)  # noqa: B023
+        best = world.evolve(founders, 300, 5)[0]
+        assert sorted(i for b in best for i in b) == list(range(60)) and all(world.fill(b) <= 1000 for b in best)
+        assert len(best) <= len(founders[0]) and crossed
+        won += len(best) < min(map(len, founders))
+    assert won >= 3
 
 
 def repeats_by_brute_force(rows, span):

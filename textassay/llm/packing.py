@@ -5,23 +5,31 @@ shard is a bin-packing problem solved by islands: an island holds a few packings
 well-filled sequences of one parent into another, drops the sequences that would repeat a piece and best-fits the
 displaced pieces again, a mutation dissolves poorly filled sequences, and between epochs every island sends its elite
 to the next. An island stops early when it reaches the lower bound. Sequences that the best packing of a shard leaves
-under-filled are dissolved, and their pieces are dealt into fewer shards and packed again, until one shard is left, so
-the loss is that of one shard and not of each.
+under-filled are dissolved, and their pieces are dealt into fewer shards and packed again, until one shard is left or
+sizes leave room in every sequence (then each shard's emptiest sequence only), so the loss is that of one shard and
+not of each.
 
 Everything between epochs is staged: a lost executor repeats its islands' epoch from the same seeds and gets the same
 packings.
 
-Defined results: a null or empty text is the end token alone; rows repeating an id are packed separately; an empty
-table gives an empty result; extra columns are ignored.
+Where best fit, the first founder, reaches the lower bound of a shard, as it does on most corpora of many sizes, no
+generation is run: no packing can be better. Crossover and mutation work on the other shards.
+
+Defined results: a null or empty text is the end token alone; rows repeating an id are packed separately; equal sizes are
+placed in order of their rows; texts of more than a sequence, however long, are cut; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import random
+import re
 import struct
+import unicodedata
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
 from zlib import crc32
@@ -29,7 +37,6 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +45,7 @@ from .common import documents, stage, unstage
 CAPACITY = 4096
 END = (1).to_bytes(4, "little")
 SHARD = 4096
+ISLANDS = 16  # of one task
 _TOKENIZERS: dict = {}
 
 
@@ -55,49 +63,86 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
-#: Words of these characters alone have one normal form, their lower case, in every Unicode version.
-PLAIN = regex.compile("[\\x21-\\x7e\u00a1-\u012f\u0131-\u024f]+")
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _class(kind: str, first: int = 0x21, last: int = 0x24F) -> str:
+    """The characters of a Unicode category between two code points, as the inside of a regex class."""
+    return "".join(re.escape(chr(c)) for c in range(first, last + 1) if unicodedata.category(chr(c))[0] == kind)
+
+
+SPACE = "\\x09-\\x0d\\x20"
+#: Texts of these characters alone have one normal form, their lower case, in every Unicode version.
+PLAIN = re.compile(f"[{SPACE}\x21-\x7e\u00a1-\u012f\u0131-\u024f]*")
+#: The tokenizer's own split, for such texts.
+PRETOKEN = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}{_class('L')}{_class('N')}]+")
 
 
 def _little(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Kept(dict):
+    """Values by key, computed when missed; beyond `most` keys the older half goes, and comes back when asked for."""
+
+    def __init__(self, compute: Callable, most: int):
+        super().__init__()
+        self.compute, self.half, self.old = compute, max(1, most // 2), {}
+
+    def __missing__(self, key):
+        if (found := self.old.get(key)) is None:
+            found = self.compute(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordTokens:
-    """Token ids by word. Pretokens of this tokenizer never cross ASCII white space, so each word between it is
-    tokenized once and its ids, as little-endian 32-bit bytes, are kept (up to `most` words, then from new). Plain
-    words go to the tokenizer's model by pretoken, all others through the whole tokenizer; both give its ids."""
+    """Token ids of texts, as little-endian 32-bit bytes and the end token. Parts of this tokenizer never cross ASCII
+    white space, so each different word between it is tokenized once. Words of a plain text are split as the tokenizer
+    splits them, and each different part goes to its model once; words of other texts go through the whole tokenizer.
+    Both give the tokenizer's ids. Up to `most` words and parts are kept."""
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.split = self.tokenizer.model.tokenize
+        self.parts, self.plain, self.words = _Kept(self._part, most), _Kept(self._plain, most), _Kept(self._word, most)
 
     def _part(self, part: str) -> bytes:
-        if (found := self.parts.get(part)) is None:
-            letters = part if part.isascii() else "".join(map(LETTERS.__getitem__, part.encode()))
-            found = self.parts[part] = _little([t.id for t in self.split(letters)])
-        return found
+        letters = part if part.isascii() else "".join(map(LETTERS.__getitem__, part.encode()))
+        return _little([t.id for t in self.split(letters)])
+
+    def _plain(self, word: str) -> bytes:
+        return self.parts[word] if word.isalpha() else b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word)))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self._part, PRETOKEN.findall(text.lower())))
+            return self._plain(text.lower())
         return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        new = set(chain.from_iterable(split)) - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known, self.parts = {}, {}
-            new = set(chain.from_iterable(split))
-        self.known.update((w, self._word(w)) for w in new)
-        look = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(look, words)) + END
+        plain, word = self.plain.__getitem__, self.words.__getitem__
+        collects = gc.isenabled()
+        gc.disable()  # each full collection would walk the words kept; nothing here makes cycles
+        try:
+            for data in texts:
+                text = data.decode()
+                if "<|" not in text and PLAIN.fullmatch(text):
+                    yield b"".join(map(plain, text.lower().split())) + END
+                else:
+                    yield b"".join(map(word, data.split())) + END
+                for kept in (self.parts, self.plain, self.words):
+                    kept.trim()
+        finally:
+            if collects:
+                gc.enable()
 
 
 def _tokens(path: str) -> WordTokens:
@@ -269,22 +314,32 @@ def _pack_level(items: DataFrame, n: int, capacity: int, islands: int, epochs: i
         F.col("x.length").alias("sizes"),
         F.lit(None).cast("array<array<int>>").alias("elites"),
     )
+    best = []
     for epoch in range(epochs):
         if epoch:
             to = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elites", 1, 1).alias("guest"))
             state = state.join(to, ["shard", "island"]).withColumn("elites", F.concat("elites", "guest")).drop("guest", "bins")
-        width = min(shards * islands, 4096)
-        dealt = state.repartition(width, "shard", "island").select("shard", "island", "rids", "sizes", "elites")
+        dealt = state.repartition(-(-shards * islands // ISLANDS), "shard", "island").select("shard", "island", "rids", "sizes", "elites")
         before, state = state, stage(dealt.mapInPandas(_epoch(capacity, generations, most, seed + epoch), STATE), "pack-epoch")
         unstage(before)
-        if state.filter(F.expr(f"bins > ceil(aggregate(sizes, 0L, (a, x) -> a + x) / {capacity})")).isEmpty():
-            break  # every island is at its lower bound
-    best = state.groupBy("shard").agg(F.min_by(F.struct("rids", F.element_at("elites", 1).alias("genes"), "sizes"), F.struct("bins", "island")).alias("x"))
-    return stage(best.select("shard", "x.rids", "x.sizes", "x.genes"), "pack-best")
+        bound = F.ceil(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x) / capacity)
+        ended = state.groupBy("shard").agg(F.min("bins").alias("bins"), F.first(bound).alias("bound"))
+        ended = stage(ended.select("shard", (F.lit(epoch + 1 == epochs) | (F.col("bins") <= F.col("bound"))).alias("ended")), "pack-ended")
+        found = state.join(ended.filter("ended"), "shard").groupBy("shard").agg(F.min_by(F.struct("rids", F.element_at("elites", 1).alias("genes"), "sizes"), F.struct("bins", "island")).alias("x"))
+        best.append(stage(found.select("shard", "x.rids", "x.sizes", "x.genes"), "pack-best"))
+        state = state.join(ended.filter("not ended"), "shard", "left_semi")  # shards at their lower bound are done
+        if ended.filter("not ended").isEmpty():
+            break
+    return reduce(DataFrame.unionAll, best)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: int = 3, generations: int = 8, most: int = 5, seed: int = 1, full: float = 0.985) -> DataFrame:
-    """(rid, sequence_id, offset) for every row of items(rid, length); lengths from 1 to capacity."""
+    """(rid, sequence_id, offset) for every row of items(rid, length); lengths from 1 to capacity.
+
+    While there is more than one shard (`SHARD` items each), pieces of sequences under `full` of the capacity are packed
+    again across shards; where these are over nine tenths of the level's pieces (sizes that leave room in every
+    sequence), only each shard's emptiest sequence is. Either way a level is smaller than the one before.
+    """
     done, level, n = [], 0, items.count()
     while True:
         best = _pack_level(items, n, capacity, islands, epochs, generations, most, seed + 100 * level)
@@ -293,16 +348,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: i
         )
         staged = stage(placed.withColumn("fill", F.sum("length").over(_bin())), "pack-placed")
         sequence = F.lit(level).cast("long") * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 13) + F.col("bin")
-        loose = staged.filter(F.col("fill") < full * capacity)
-        left = loose.count() if n > SHARD else 0
-        if left > 0.9 * n:  # sizes that leave room in every sequence: packing them again gains nothing
-            left = 0
-        kept = staged.filter(F.col("fill") >= full * capacity) if left else staged
+        loose = F.col("fill") < full * capacity
+        left = staged.filter(loose).count() if n > SHARD else 0
+        if left > 0.9 * n:
+            emptiest = staged.groupBy("shard").agg(F.min_by("bin", F.struct("fill", "bin")).alias("emptiest"))
+            before, staged = staged, stage(staged.join(emptiest, "shard"), "pack-emptiest")
+            unstage(before)
+            loose = F.col("bin") == F.col("emptiest")
+            left = staged.filter(loose).count()
+        kept = staged.filter(~loose) if left else staged
         done.append(kept.select("rid", sequence.alias("sequence_id"), (F.sum("length").over(_bin().orderBy("rid")) - F.col("length")).alias("offset")))
-        unstage(best)
         if not left:
             return stage(reduce(DataFrame.unionAll, done), "pack-sequences")
-        items, n, level = stage(loose.select("rid", "length"), "pack-loose"), left, level + 1
+        items, n, level = stage(staged.filter(loose).select("rid", "length"), "pack-loose"), left, level + 1
 
 
 def _bin() -> Window:
