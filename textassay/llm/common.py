@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,13 +14,14 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local master gets a folder of its own
+    (there driver and executors are one process); a cluster must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="textassay-")
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="textassay-")
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -44,6 +46,16 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that have ended deleted now.
+
+    Spark deletes them when the driver's JVM collects those plans, which a driver with room to spare may put off for
+    hours while the executors' disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
