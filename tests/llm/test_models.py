@@ -250,12 +250,115 @@ def test_language_model_counts_and_base(spark):
     assert sorted((str(r.doc_id), round(r.score, 9)) for r in same) == sorted((str(r.doc_id), round(r.score, 9)) for r in found)
 
 
+def one_by_one(n, push, discount, rnd):
+    """Tables of one dish after n customers, each seated by the rule."""
+    t = 1
+    for done in range(1, n):
+        t += rnd.random() * (done - discount * t + push) < push
+    return t
+
+
 def test_seating():
     counts = np.array([0, 1, 2, 50, 5000, 10**6])
     keys = np.arange(6, dtype=np.uint64)
     t = L.seat(counts, np.full(6, 0.5), 0.7, keys, 1)
     assert t[0] == 0 and t[1] == 1 and (t <= counts).all() and (t[2:] >= 1).all() and t[5] > t[3]
     assert (L.seat(counts, np.full(6, 0.5), 0.7, keys, 1) == t).all()
+    assert (L.seat(counts[::-1], np.full(6, 0.5), 0.7, keys[::-1], 1, slice_=2)[::-1] == t).all()  # whatever stands beside a pair
+
+
+@pytest.mark.parametrize("n, push, discount", [(40, 0.5, 0.7), (3000, 5.0, 0.7), (3000, 0.3, 0.2), (2000, 400.0, 0.5)])
+def test_seating_has_the_distribution_of_the_rule(n, push, discount):
+    rnd = random.Random(8)
+    exact = np.array([one_by_one(n, push, discount, rnd) for _ in range(600)])
+    found = L.seat(np.full(4000, n), np.full(4000, push), discount, np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64), 3)
+    error = exact.std() * (1 / 600 + 1 / 4000) ** 0.5
+    assert abs(found.mean() - exact.mean()) < 4 * error + 0.01 * exact.mean()
+    assert abs(found.std() - exact.std()) < 0.15 * exact.std() + 0.05
+
+
+def test_binomial_quantiles():
+    rnd = np.random.default_rng(2)
+    for n, p in ((1, 0.3), (20, 0.5), (300, 0.02), (5000, 0.4), (1000, 0.97)):
+        x = L.binomial(rnd.random(20000), np.full(20000, float(n)), np.full(20000, p))
+        assert x.min() >= 0 and x.max() <= n and (x == np.floor(x)).all()
+        sd = (n * p * (1 - p)) ** 0.5
+        assert abs(x.mean() - n * p) < 0.04 * sd + 1e-9 and abs(x.std() / sd - 1) < 0.03
+
+
+def test_counts_beyond_32_bits():
+    """What a bucket adds up, and what it answers, keeps counts over 2^32."""
+    import pandas as pd
+    from pyspark.sql import functions as F  # noqa: F401
+
+    from textassay.llm.packed import pack, pack_counts, unpack_counts
+
+    x = np.array([0, 1, (1 << 32) + 5, 1 << 40])
+    assert unpack_counts(pack_counts(x)).tolist() == x.tolist() and unpack_counts(pack_counts(x[:2])).tolist() == [0, 1]
+    hashes = np.array([5, 9], np.uint64)
+    ask = lambda n: [pack(np.diff(hashes, prepend=np.uint64(0))), pack_counts(np.array(n))]
+    frame = pd.DataFrame({"bucket": [0, 0], "block": [1, 2], "n": [2, 2], "data": [ask([3 << 30, 1]), ask([3 << 30, 2])]})
+    out = L._bucket_sums(frame, lambda h, added: (added, [float(added[0].sum())]))
+    assert unpack_counts(out.data[0][0]).tolist() == [6 << 30, 3] and out.totals[2] == [float((6 << 30) + 3)]
+
+
+def brute_scores(rows, train, sweeps=3, burn_in=1):
+    """The model with plain dictionaries over words; only the draws of seat() are shared."""
+    words = lambda t: [*(t or "").encode().lower().split(), b""]
+    from textassay.llm.packed import mixed
+    from xxhash import xxh64_intdigest
+
+    name = {w: np.uint64(xxh64_intdigest(w)) for _, t, *_ in rows for w in words(t)}
+    key = lambda u, w: mixed(np.array([name[u]]) * np.uint64(0x9FB21C651E98DF25) + mixed(np.array([name[w]])))
+    follow = lambda t: list(zip([b"", *words(t)[:-1]], words(t)))
+    pairs = Counter(p for i, t, *_ in rows if train(i) for p in follow(t))
+    vocabulary = len({w for _, w in pairs})
+    after = Counter()
+    for (u, _), n in pairs.items():
+        after[u] += n
+    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    seat = lambda n, push, disc, k, s: L.seat(np.array([n]), np.array([push]), disc, k, s)[0]
+    mean, state, top_before = Counter(), None, 0.0
+    every = {p for _, t, *_ in rows for p in follow(t)}
+    for s in range(sweeps + 1):
+        tables = {p: (min(n, 1) if state is None else seat(n, (L.THETA + d * state[0][p[0]]) * state[1](p[1]), d, key(*p), s)) for p, n in pairs.items()}
+        if s > burn_in:
+            held = tables
+        of_context, customers = Counter(), Counter()
+        for (u, w), n in tables.items():
+            of_context[u] += n
+            customers[w] += n
+        push = (L.TOP_THETA + L.TOP_DISCOUNT * top_before) / (vocabulary + 1)
+        own = {w: seat(int(n), push, L.TOP_DISCOUNT, np.array([name[w]]), 1000 + s) for w, n in customers.items()}
+        total, top_before = sum(customers.values()), sum(own.values())
+        top = lambda w, c=customers, o=own, n=total, m=top_before: (c[w] - L.TOP_DISCOUNT * o.get(w, 0) + (L.TOP_THETA + L.TOP_DISCOUNT * m) / (vocabulary + 1)) / (L.TOP_THETA + n)
+        state = of_context, top
+        if s > burn_in:
+            for u, w in every:
+                mean[u, w] += (max(pairs[u, w] - d * held.get((u, w), 0), 0) + (L.THETA + d * of_context[u]) * top(w)) / (L.THETA + after[u])
+    return [(str(i), round(float(sum(np.log10(mean[p] / (sweeps - burn_in)) for p in follow(t))), 7)) for i, t, *_ in rows]
+
+
+def test_scores_by_brute_force(spark):
+    rnd = random.Random(16)
+    rows = [(i, " ".join(rnd.choices(["The", "cat", "sat", "on", "a", f"rare{i % 9}"], [9, 5, 4, 4, 3, 1], k=rnd.randint(0, 150))), "", "") for i in range(60)] + [(500, None, "", ""), (501, "zebra cat", "", ""), (None, "the cat", "", "")]
+    from pyspark.sql import functions as F
+
+    found = L.score_texts(docs(spark, rows), train=F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True)), block_bytes=3000).collect()
+    expected = brute_scores(rows, lambda i: i is None or i % 4 != 0)
+    assert sorted((str(r.doc_id), round(r.score, 7)) for r in found) == sorted(expected)
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "a b a", 1, [2], True), (2, "b", 3, [4], False)], "doc_id int, text string, block int, ids array<int>, train boolean")
+    for kind in ("smallint", "string", "decimal(9,0)", "date"):
+        col = F.date_add(F.lit("2024-01-01"), F.col("doc_id")) if kind == "date" else F.col("doc_id").cast(kind)
+        found = L.score_texts(rows.withColumn("doc_id", col), train=F.col("train"))
+        assert found.count() == 2 and found.schema["doc_id"].dataType.simpleString() == kind
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("textassay_blocks")]
 
 
 def test_predictive_sums_to_one():

@@ -19,6 +19,16 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts of any size: 32-bit where all fit, else 64-bit; the first byte says which."""
+    kind = np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + pack(x.astype(kind))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], np.uint32 if data[0] == 4 else np.uint64).astype(np.int64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The SplitMix64 finish of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
