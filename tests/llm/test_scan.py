@@ -91,6 +91,10 @@ def test_quality_cases(spark):
     marks = spark.createDataFrame([(1, 1), (2, None), (3, 0), (3, 1), (9, 1)], "doc_id long, quality int")
     assert Q.keep_good(docs, marks).count() <= 4
     assert Q.keep_good(docs.limit(0), marks).count() == 0
+    odd = docs.withColumn("a column, with `signs`: int", docs.score)
+    assert Q.keep_good(odd, marks).columns == odd.columns
+    utf8 = docs.select(docs.doc_id.alias("id"), docs.text.cast("binary").alias("text")).fillna({"id": 1}).filter("text is not null")
+    assert Q.fit_field(utf8, spark.createDataFrame([(3, 1)], "id long, label int"), fit_doc_lines=100) is None  # 30,001 lines
     texts = [b"", b"a\n\nb", b"!" * 100_000]
     x, lengths, counts = Q.line_features(texts)
     assert counts.tolist() == [1, 3, 1] and lengths.tolist() == [0, 1, 0, 1, 100_000] and np.isfinite(x).all()
@@ -111,6 +115,33 @@ def test_main_text():
     assert H.main_text('<article><p title="a>b">x</p><p>5 < 6 and a<b</p></article>').startswith("x 5 < 6")
 
 
+def test_links_end_and_names_mislead():
+    prose = "The first part of the text is about the sea and the way that it has been for all of the people."
+    assert H.main_text(f"<article><p>{prose} <a href=x>more</p><p>{prose}</p></article>") == f"{prose} more {prose}"
+    assert H.main_text(f"<article><p><a name=top>{prose}<p>{prose}</article>") == f"{prose} {prose}"
+    assert H.main_text(f"<body><p><a href=y>one<p>{prose}</p><p>{prose}</p></body>").endswith(f"{prose} {prose}")
+    page = f"<nav><a href=/>Home</a></nav><div class='{{}}'><p>{prose}</p><p>{prose}</p><p>{prose}</p></div><footer>all of it</footer>"
+    for name in ("discussion", "left side content", "article-body"):
+        assert H.main_text(page.format(name)) == f"{prose} {prose} {prose}"
+    both = f"<div><p>{prose}</p></div><div class=comments><p>{prose}</p><p>{prose}</p><p>{prose}</p></div>"
+    assert H.main_text(both) == prose
+    assert H.main_text("<a href=z><h3>Other</h3><p>One of the other texts that the site has for you to read now.</p></a>") == ""
+
+
+def test_gold_pages(spark):
+    """Pages of the tables: every paragraph of their article, in order, and nothing of the frame."""
+    import html as plain
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for p in pages:
+        inner = re.search(r"<article.*?>(.*?)</article>", p.html, re.S) or re.search(r"<main.*?>(.*?)</main>", p.html, re.S)
+        if inner:
+            inner = re.sub(r"(?s)<(script|style|aside|nav|form|footer)\b.*?</\1>|<!--.*?-->", " ", inner[1])
+            inner = re.sub(r"(?s)<div[^>]*class=['\"]?(?:ad|ads|comments?)\b.*?</div>", " ", inner)
+            gold = plain.unescape(re.sub(r"<[^>]*>", " ", inner)).split()
+            assert "".join(H.main_text(p.html).split()) == "".join(gold)
+
+
 def test_pages_cases(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", "<div>" * 5000 + "deep", "t"), (4, "u", '<a b="' * 3000, "t")], "page_id long, url string, html string, text string")
     found = {r.page_id: r.text for r in H.extract_text(df).collect()}

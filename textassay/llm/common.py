@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows times their widest row stay below this.
@@ -61,6 +61,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All of df's columns, whatever their names, as a struct `row`."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its rows, counted, fit the limit; else marked as the hash side of a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df.hint("shuffle_hash")

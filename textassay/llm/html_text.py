@@ -6,10 +6,11 @@ adverts, forms and reader comments are known by their element, role, class or id
 stop-word density and length; blocks too short or too plain to tell stay undecided. In the second pass an undecided
 block takes the label of the nearest decided block of the same article, or of the page where there is no article;
 between two equally near it is good if either is. A section with no decided block is good inside an article and,
-elsewhere, good unless it is made of links.
+elsewhere, good unless it is made of links. Where a page has no good block at all but prose under a class or id that
+would set it apart, that name is not believed. A link ends where it is closed or where the element around it ends.
 
 Defined results: a null or blank page has an empty text; unclosed and cut-off markup ends with the page; character
-references are decoded once; repeated rows get equal rows; an empty table gives an empty result; extra columns are
+references are decoded once; very long pages are read whole; ties in distance go to good; repeated rows get equal rows; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,7 @@ class Block:
     text: str
     linked: int = 0
     apart: bool = False
+    named: bool = False  # set apart by a class or id alone
     article: int = 0  # 0: the page; else the number of the article that holds it
     heading: bool = False
     label: str = ""
@@ -73,6 +75,7 @@ class Block:
 class _Open:
     name: str
     apart: bool
+    named: bool
     article: int
     unseen: bool
 
@@ -85,6 +88,7 @@ class BlockRules:
     short: int = 70
     low_stops: float = 0.12
     stops: float = 0.2
+    misnamed: int = 200  # characters of prose that outvote their containers' names where a page has no other
     words: frozenset = field(default=STOP_WORDS)
 
     def first(self, b: Block) -> str:
@@ -102,6 +106,13 @@ class BlockRules:
     def classify(self, blocks: list[Block]) -> None:
         for b in blocks:
             b.label = self.first(b)
+        if not any(b.label == "good" for b in blocks):  # all prose may stand under a name that misleads
+            named = [b for b in blocks if b.apart and b.named]
+            dense = [b for b in named if self.first(replace(b, apart=False)) == "good"]
+            if sum(len(b.text) for b in dense) >= self.misnamed:
+                for b in named:
+                    b.apart = False
+                    b.label = self.first(b)
         by: dict[int, list[int]] = {}
         for i, b in enumerate(blocks):
             if not b.apart:
@@ -119,16 +130,18 @@ class BlockRules:
                 b.label = min(near)[2] if near else "good" if article or b.linked <= self.most_links * len(b.text) else "bad"
 
 
-def _apart(name: str, attributes: str, inside: bool) -> bool:
+def _apart(name: str, attributes: str, inside: bool) -> str:
+    """Why an element is never part of the main text: "rule" or, by its class or id alone, "name"; else empty."""
+    found = ""
     if name in APART or name == "header" and not inside:
-        return True
+        return "rule"
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "role" and value.lower() in APART_ROLES or key in ("class", "id") and name not in ("body", "html", "article", "main") and APART_NAMES.search(value):
-            return True
-        if key == "style" and HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if key == "role" and value.lower() in APART_ROLES or key == "style" and HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
+            return "rule"
+        if key in ("class", "id") and name not in ("body", "html", "article", "main") and APART_NAMES.search(value):
+            found = "name"
+    return found
 
 
 def blocks(page: str) -> list[Block]:
@@ -137,18 +150,18 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     articles = 0
     run: list[str] = []
-    linked = links = 0
+    linked = links = depth = 0  # depth: elements open around the current link
     heading = False
     page = CUT_OFF.sub("", page)
 
     def top() -> _Open:
-        return stack[-1] if stack else _Open("", False, 0, False)
+        return stack[-1] if stack else _Open("", False, False, 0, False)
 
     def close_block() -> None:
         nonlocal run, linked
         if text := " ".join("".join(run).split()):
             t = top()
-            out.append(Block(text, linked, t.apart, t.article, heading))
+            out.append(Block(text, linked, t.apart, t.named, t.article, heading))
         run, linked = [], 0
 
     def data(raw: str) -> None:
@@ -172,7 +185,7 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name == "a":
-            links = 0 if closing else 1
+            links, depth = int(not closing and "href" in attributes.lower()), len(stack)
         if name in BLOCK or name in UNSEEN:
             close_block()
         if closing:
@@ -180,18 +193,24 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].name == name:
                     del stack[k:]
                     break
+            links = links if len(stack) >= depth else 0  # a link ends with the element that it is in
             continue
         if name in EMPTY:
             continue
-        if name in ENDS_P and stack and stack[-1].name == "p" or name == "li" and stack and stack[-1].name == "li":
-            stack.pop()
+        k = len(stack) - 1
+        while k >= 0 and stack[k].name not in BLOCK:
+            k -= 1
+        if k >= 0 and (name in ENDS_P and stack[k].name == "p" or name == "li" and stack[k].name == "li"):
+            del stack[k:]
+            links = links if len(stack) >= depth else 0
         t = top()
         article = t.article
         if name in ("article", "main") and not t.article:
             articles += 1
             article = articles
         if name in BLOCK or name in UNSEEN or attributes:
-            stack.append(_Open(name, t.apart or _apart(name, attributes, bool(t.article)), article, t.unseen or name in UNSEEN or name == "title"))
+            why = _apart(name, attributes, bool(t.article))
+            stack.append(_Open(name, t.apart or bool(why), t.named if t.apart else why == "name", article, t.unseen or name in UNSEEN or name == "title"))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import zstandard
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Pause the cyclic collector, whose passes over large dictionaries cost more than the work on them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def pack(x: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     x = np.ascontiguousarray(x)

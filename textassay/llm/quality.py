@@ -5,11 +5,12 @@ and its length, and the same of the lines before and after it; transitions tie n
 score is the mean of its lines' forward-backward marginals of "good", weighted by length.
 
 The field is fitted on a bounded sample of labelled documents (`fit_docs` documents and `fit_lines` lines at most, by
-a hash of the id), each line taking its document's label; features are computed where the documents are and only the
+a hash of the id; documents of over `fit_doc_lines` lines are scored but not fitted on), each line taking its document's label; features are computed where the documents are and only the
 sample's numbers reach the driver. Scoring reads every document once, without a shuffle.
 
 Defined results: a null or empty text is one empty line; without a usable label every score is 0.5; labels that are
-null, conflicting or neither 0 nor 1 are not used; repeated rows get equal rows; an empty table gives an empty result;
+null, conflicting or neither 0 nor 1 are not used; a very long text is scored whole; repeated rows and ties get equal
+scores; an empty table gives an empty result;
 extra columns are ignored by `score_quality` and kept by `keep_good`.
 """
 
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import documents
+from .common import documents, stage, unstage, whole_row
 
 #: Character classes by byte; a line's share of each is a feature.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"|", b"#$%&*+<=>@[]^_`{}~\\/", b"\"'()-:;?", b".,", b" \t", bytes(range(128, 256)))
@@ -181,37 +183,44 @@ def _utf8(text_col: str) -> Column:
     return F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_lines: int = 100_000) -> LineField | None:
-    """A field fitted on the labelled documents of docs(id, text); labels(id, label). None if there is no usable label."""
+def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_lines: int = 100_000, fit_doc_lines: int = 10_000) -> LineField | None:
+    """A field fitted on the labelled documents of docs(id, text); labels(id, label). None if there is no usable label.
+
+    The sample is bounded: fit_docs documents and fit_lines lines in all, none of more than fit_doc_lines lines.
+    """
     usable = labels.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most")
     sample = usable.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(fit_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            sizes, rows = [], []
             for text in (x.as_buffer().to_pybytes() for x in batch.column(1)):
-                x, _, _ = line_features([text])
-                rows.append(x.tobytes() if len(x) <= fit_lines // 10 else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "label", "x"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    drawn = docs.join(F.broadcast(sample), "id").select("id", "text", F.col("label").cast("int").alias("label"))
-    rows = sorted(drawn.mapInArrow(run, f"id {kind}, label int, x binary").collect(), key=lambda r: (r["id"], r["x"]))  # fit_docs rows at most, but for repeated ids
-    own, counts, marks, total = [], [], [], 0
-    for r in rows[:fit_docs]:
-        n = len(r["x"]) // (4 * OWN)
-        if n and total + n <= fit_lines:
-            own.append(np.frombuffer(r["x"], dtype=np.float32).reshape(n, OWN))
-            counts.append(n)
-            marks.append(r["label"])
-            total += n
-    if not own:
+                n = text.count(b"\n") + 1
+                sizes.append(n)
+                rows.append(line_features([text])[0].tobytes() if n <= fit_doc_lines else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], ["id", "label", "n", "x"])
+
+    kind = docs.schema["id"].dataType
+    schema = StructType([StructField("id", kind), *StructType.fromDDL("label int, n bigint, x binary")])
+    drawn = docs.join(F.broadcast(sample), "id").select("id", "text", F.col("label").cast("int").alias("label"))  # the sample is fit_docs rows at most
+    found = stage(drawn.mapInArrow(run, schema).withColumn("h", F.xxhash64("x")), "quality-features")
+    chosen, total = [], 0
+    for r in found.filter(F.col("n") <= fit_doc_lines).select("id", "n", "h").distinct().orderBy("id", "h").limit(fit_docs).collect():
+        if total + r["n"] <= fit_lines:
+            chosen.append((r["id"], r["h"]))
+            total += r["n"]
+    if not chosen:
         return None
-    counts = np.array(counts)
-    return LineField.fit(with_neighbours(np.concatenate(own), counts), counts, np.array(marks))
+    picked = docs.sparkSession.createDataFrame(chosen, StructType([StructField("id", kind), *StructType.fromDDL("h bigint")]))
+    rows = found.join(F.broadcast(picked), ["id", "h"]).dropDuplicates(["id", "h"]).collect()  # fit_lines lines at most
+    unstage(found)
+    rows.sort(key=lambda r: (r["id"], r["h"]))
+    counts = np.array([r["n"] for r in rows])
+    x = np.concatenate([np.frombuffer(r["x"], dtype=np.float32).reshape(-1, OWN) for r in rows])
+    return LineField.fit(with_neighbours(x, counts), counts, np.array([r["label"] for r in rows]))
 
 
-def score_quality(rows: DataFrame, field: LineField | None, schema: str, text_at: int, block_bytes: int = 4 << 20) -> DataFrame:
+def score_quality(rows: DataFrame, field: LineField | None, schema: StructType | str, text_at: int, block_bytes: int = 4 << 20) -> DataFrame:
     """rows with a last column `score`; the column at text_at holds UTF-8 bytes and is left out of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +243,8 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, he
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score threshold or more, with docs' columns."""
     field = _training(docs, labels, id_col, text_col, None)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _utf8(text_col).alias("text"))
-    scored = score_quality(rows, field, f"row {rows.schema['row'].dataType.simpleString()}, score double", 1)
+    rows = docs.select(whole_row(docs), _utf8(text_col).alias("text"))
+    scored = score_quality(rows, field, StructType([rows.schema["row"], *StructType.fromDDL("score double")]), 1)
     return scored.filter(F.col("score") >= threshold).select("row.*")
 
 
