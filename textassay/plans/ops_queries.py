@@ -204,7 +204,9 @@ def audit_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.hash_chain(rows, "h", ["event_id"], "day")
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT user_id, 0 AS level, list({_ENTRY} ORDER BY event_id) AS hs FROM events GROUP BY 1
+  UNION ALL SELECT user_id, level + 1, list_transform(range(1, (len(hs) + 1) // 2 + 1), lambda i: sha256(hs[2 * i - 1] || hs[least(2 * i, len(hs))])) FROM l WHERE len(hs) > 1)
+  SELECT user_id, len(arg_min(hs, level))::INT AS leaves, arg_max(hs, level)[1] AS root FROM l GROUP BY 1""")
 def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle root of each user's event hashes, in order."""
     rows = _events(spark, sf_dir).select("user_id", "event_id", F.sha2(F.concat_ws("|", "event_id", "event_type", "user_id"), 256).alias("h"))
