@@ -55,6 +55,12 @@ def test_pii(spark):
     assert value(spark, pii.found(text, "email")) == ["me@corp.io"] and value(spark, pii.found(text, "ip_address")) == ["10.0.0.1"]
     assert [d.type for d in value(spark, pii.detections(text))] == ["email", "ssn", "credit_card", "phone"]
     assert value(spark, pii.redact(F.lit("write me@corp.io"))) == "write [REDACTED_EMAIL]"
+    mail = F.lit("write me@corp.io")
+    shown = {m: value(spark, pii.applied(mail, pii.PiiPolicy(m))) for m in ("detect", "block", "redact")}
+    assert [(r.text, r.blocked, len(r.detections)) for r in shown.values()] == [("write me@corp.io", False, 1), (None, True, 1), ("write [REDACTED_EMAIL]", False, 1)]
+    assert value(spark, pii.applied(F.lit("nothing"), pii.PiiPolicy("block"))).text == "nothing"
+    assert [value(spark, pii.confidence("email", F.lit(v))) for v in ("a@b.io", "a@b@c.io", "a@b")] == [0.9, 0.6, 0.6]
+    assert [value(spark, pii.confidence("phone", F.lit(v))) for v in ("555-1", "(555) 1", "5551")] == [0.85, 0.85, 0.7]
 
 
 D = {(3, 5, 9): 0.79248125, (3, 5, 9, 17, 31): 0.866733469, (3, 6, 12, 24): 1.0, (10, 15, 20, 25): 0.440642698, (10, 10, 10, 10): 0.0}

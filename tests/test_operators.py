@@ -31,7 +31,7 @@ def merkle(leaves):
 
 
 def test_merkle_and_chain(spark):
-    for n in (0, 1, 2, 3, 5, 8):
+    for n in (0, 1, 2, 3, 5, 8, 9, 33):
         leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
         df = spark.createDataFrame([(leaves,)], "l array<string>")
         assert df.select(A.merkle_root(F.col("l"))).head()[0] == merkle(leaves)

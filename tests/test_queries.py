@@ -1,5 +1,6 @@
 """Every named query against its SQL on the smallest tables; those without SQL must give rows."""
 
+import json
 import math
 import os
 
@@ -44,6 +45,33 @@ def test_query(spark, duck, name):
     assert found == rows(relation.columns, relation.fetchall())
 
 
+def test_rows_without_sql_by_python(spark):
+    """Queries that SQL cannot express, row by row."""
+    import hashlib
+    import hmac
+    import zlib
+
+    import numpy as np
+
+    from textassay.functions import signals as S
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {r.doc_id: r.r for r in QUERIES["compression_ratio"](spark, SF).collect()}
+    assert found == {i: round(min(1.0, len(zlib.compress(t, 6)) / len(t)), 9) if t else 1.0 for i, t in texts.items()}
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    for r in QUERIES["signed_records"](spark, SF).collect():
+        p = parts[r.p_partkey]
+        record = f'{{"name":{json.dumps(p.p_name, ensure_ascii=False)},"price":{p.p_retailprice:.9f}}}'
+        assert r.valid and r.signature == hmac.new(b"test-key", hashlib.sha256(record.encode()).digest(), hashlib.sha256).hexdigest()
+    for r in QUERIES["thompson_draws"](spark, SF).collect():
+        assert r.draw == float(np.random.default_rng(int(r.alpha * 1000 + r.beta)).beta(r.alpha, r.beta))
+    windows = {}
+    for r in sorted(spark.read.parquet(f"{SF}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
+        windows.setdefault((r.label, r.vec_id // 2560), []).append(r.embedding)
+    got = {(r.label, r.part): (r.n, r.coh_star, r.r, r.pca95) for r in QUERIES["vector_signals"](spark, SF).collect()}
+    assert got == {k: (len(v), S.coherence(np.array(v, float))[0], S.quantised_ratio(np.array(v, float)), S.pca_dimension(np.array(v, float))) for k, v in windows.items()}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

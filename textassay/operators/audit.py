@@ -13,7 +13,7 @@ def hash_chain(rows: DataFrame, entry_hash: str, order: list[str], *by: str) ->
     return entries.select(*by, F.size("e").cast("bigint").alias("entries"), fold.alias("root"))
 
 
-def merkle_root(leaves: Column, most_levels: int = 24) -> Column:
+def merkle_root(leaves: Column) -> Column:
     """Root over an array of hashes: pairs of hexadecimal strings hashed, an odd last one doubled; 64 zeros if empty."""
 
     def up(level: Column) -> Column:
@@ -21,7 +21,8 @@ def merkle_root(leaves: Column, most_levels: int = 24) -> Column:
         pair = lambda i: F.sha2(F.concat(F.element_at(level, 2 * i - 1), F.element_at(level, F.least(2 * i, n))), 256)
         return F.when(n <= 1, level).otherwise(F.transform(F.sequence(F.lit(1), F.ceil(n / 2).cast("int")), pair))
 
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(most_levels)), leaves, lambda a, _: up(a))
+    levels = F.greatest(F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(2)).cast("double"))), F.lit(1)).cast("int") + 1  # one more than enough: a root stays a root
+    root = F.aggregate(F.sequence(F.lit(1), levels), leaves, lambda a, _: up(a))
     return F.when(F.size(leaves) == 0, "0" * 64).otherwise(F.element_at(root, 1))
 
 

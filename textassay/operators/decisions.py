@@ -61,12 +61,18 @@ def adaptive_need(accuracy: Column) -> Column:
     return F.when(accuracy >= 0.90, 2).when(accuracy >= 0.75, 3).otherwise(3)
 
 
-def contiguous_thirds(rows: DataFrame, order: str) -> DataFrame:
-    """rows with third: 0, 1 or 2 of the rows in order; the last takes the remainder. Ranks come from range partitions, not one sort."""
+def contiguous_thirds(rows: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """rows with third: 0, 1 or 2 of the rows in order (a number); the last takes the remainder. Rows of one value stay together.
+
+    Ranks come from ranges of values and not from one sort. A value's range is a function of the value alone, so both
+    uses of the ranges agree however they are computed.
+    """
     counts = rows.groupBy(order).count()
-    parts = counts.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    sums = parts.groupBy("__p").agg(F.sum("count").alias("s"))
-    offsets = sums.select("__p", (F.sum("s").over(Window.orderBy("__p")) - F.col("s")).alias("__o"), F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__n"))
+    bounds = sorted(set(counts.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.002)))
+    parts = counts.withColumn("__p", sum((F.coalesce(F.col(order) > b, F.lit(False)).cast("int") for b in bounds), F.lit(0)))
+    sums = parts.groupBy("__p").agg(F.sum("count").alias("s"))  # at most `ranges` rows
+    before, every = Window.orderBy("__p"), Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = sums.select("__p", (F.sum("s").over(before) - F.col("s")).alias("__o"), F.sum("s").over(every).alias("__n"))
     w = Window.partitionBy("__p").orderBy(order)
     ranked = parts.join(F.broadcast(offsets), "__p").select(order, (F.col("__o") + F.sum("count").over(w) - F.col("count")).alias("__r"), "__n")
     third = F.least(F.lit(2), F.floor(F.col("__r") / F.greatest(F.floor(F.col("__n") / 3), F.lit(1))))

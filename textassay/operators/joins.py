@@ -12,12 +12,14 @@ def shingle_overlap(left: DataFrame, left_id: str, right: DataFrame, right_id: s
     """Pairs that share word shingles, their number and Jaccard similarity.
 
     The smaller side's shingles are an inverted index; documents reach it by an equality join on the shingle, so
-    only pairs with something in common are made, and sizes are joined to those alone.
+    only pairs with something in common are made; a posting carries its text's number of shingles.
     """
-    distinct = lambda df, i, name: df.select(F.col(i).alias(name), F.explode(F.array_distinct(T.shingles(T.tokens(F.col(text_col)), size))).alias("s"))
-    count = lambda df, i, name: df.select(F.col(i).alias(name), F.size(F.array_distinct(T.shingles(T.tokens(F.col(text_col)), size))).alias(f"n_{name}"))
-    common = distinct(left, left_id, "l").join(distinct(right, right_id, "r"), "s").groupBy("l", "r").agg(F.count(F.lit(1)).alias("common"))
-    sized = common.join(count(left, left_id, "l"), "l").join(count(right, right_id, "r"), "r")
+    def posted(df: DataFrame, i: str, name: str) -> DataFrame:
+        own = df.select(F.col(i).alias(name), F.array_distinct(T.shingles(T.tokens(F.col(text_col)), size)).alias("all"))
+        return own.select(name, F.size("all").alias(f"n_{name}"), F.explode("all").alias("s"))
+
+    met = posted(left, left_id, "l").join(posted(right, right_id, "r"), "s")
+    sized = met.groupBy("l", "r", "n_l", "n_r").agg(F.count(F.lit(1)).alias("common"))
     jaccard = F.col("common") / (F.col("n_l") + F.col("n_r") - F.col("common"))
     return sized.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "common", F.round(jaccard, 9).alias("jaccard"))
 
