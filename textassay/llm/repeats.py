@@ -17,7 +17,7 @@ of their bytes.
 README says why the method named for this operator, external induced sorting of all suffixes, was left for this one.
 
 Defined results: a null text is an empty text; texts under `span` bytes lose nothing; documents are ordered by id, null ids
-first, rows repeating an id by their place in the input; an empty table gives an empty result; extra columns are
+first, rows repeating an id by their place in the input; very long texts are cut into overlapping slices; ids must be integers; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_width, stage
+from .common import documents, shuffle_width, stage, unstage
 from .packed import dealt, mixed, pack, unpack
 
 U = np.uint64
@@ -104,8 +104,8 @@ def _slice_ranges(data: bytes, starts: np.ndarray, lens: np.ndarray, span: int)
 BLOCKS = "block bigint, docs bigint, size bigint, lens binary, text binary"
 
 
-def _read_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """One row per block of docs(id, key, text), its documents by key, in a table bucketed by block."""
+def _read_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, str]:
+    """One row per block of docs(id, key, text), its documents by key, in a table bucketed by block; and the table's name."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _read_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     name = f"textassay_blocks_{uuid.uuid4().hex}"
     found = docs.mapInArrow(run, f"{BLOCKS}, keys array<bigint>, ids array<{kind}>")
     found.write.format("parquet").bucketBy(shuffle_width(docs.sparkSession), "block").sortBy("block").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return docs.sparkSession.table(name), name
 
 
 class Block:
@@ -356,13 +356,13 @@ def _by_block(answers: DataFrame, name: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, block_bytes: int = 8 << 20, slice_bytes: int = SLICE, with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the remaining bytes as `kept`."""
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the remaining bytes as `kept`. The result is staged, and the tables it was made of are dropped."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    blocks = _read_blocks(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")), block_bytes)
+    blocks, name = _read_blocks(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")), block_bytes)
     size = blocks.agg(F.sum("size")).head()[0] or 0
     buckets = max(1, -(-int(size) // (32 * ENTRIES)))
 
@@ -407,7 +407,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 4096]), types)], names)
 
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return known.select("block", "size", "lens", "text", "keys", "ids", "r", "w").mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+    found = stage(known.select("block", "size", "lens", "text", "keys", "ids", "r", "w").mapInArrow(finish, schema), "repeat-found")
+    spark.sql(f"DROP TABLE {name}")
+    unstage(ranges, windows)
+    return found.withColumnRenamed("id", id_col)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
