@@ -397,3 +397,38 @@ def test_pipeline(spark, monkeypatch):
     assert written[1].select("text").distinct().count() == sizes[2]
     check_packing(packed, 4096)
     assert set(packed.doc_id) == {r.doc_id for r in written[3].select("doc_id").collect()}
+
+
+def test_orders_by_hash_are_stable_orders():
+    """Sorting hashes with their places gives what a stable argsort gives, high bits that tie included."""
+    from textassay.llm.packed import ordered
+
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 1000, 300_000):
+        for spread in (None, 7, 1 << 20):
+            keys = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            keys = keys % np.uint64(spread) if spread else keys
+            assert (ordered(keys) == np.argsort(keys, kind="stable")).all()
+    near = np.repeat(r.integers(0, 1 << 40, 20, dtype=np.uint64) << np.uint64(20), 2)
+    near[::2] += np.uint64(1)
+    assert (ordered(near) == np.argsort(near, kind="stable")).all()
+
+
+def test_pairs_with_and_without_places_agree():
+    from textassay.llm.pitman_yor import Block
+
+    r = np.random.default_rng(1)
+    for equal in (False, True):
+        lens, n = r.integers(1, 50, 200), 40
+        tokens = r.integers(0, n - 1, lens.sum()).astype(np.int32)
+        tokens[np.cumsum(lens) - 1] = n - 1
+        words = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        if equal:  # two words of one hash: their pairs count as one
+            words[3] = words[5]
+        train = r.random(200) < 0.7
+        a, b = (Block(tokens, words, lens, train) for _ in range(2))
+        a.pair()
+        b.pair(places=True)
+        assert (a.hashes == b.hashes).all() and len(set(a.hashes.tolist())) == len(a.hashes)
+        assert (np.bincount(b.pair_at, weights=b.trains, minlength=len(b.u)) == a.pair_counts).all()
+        assert equal or ((a.u == b.u).all() and (a.w == b.w).all())

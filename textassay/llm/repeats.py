@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_width, stage, unstage
+from .common import documents, shuffle_width, small_batches, stage, unstage
 from .packed import dealt, mixed, pack, unpack
 
 U = np.uint64
@@ -138,7 +138,8 @@ def _read_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, str]:
 
     name = f"textassay_blocks_{uuid.uuid4().hex}"
     found = docs.mapInArrow(run, f"{BLOCKS}, keys array<bigint>, ids array<{kind}>")
-    found.write.format("parquet").bucketBy(shuffle_width(docs.sparkSession), "block").sortBy("block").saveAsTable(name)
+    with small_batches(docs.sparkSession):
+        found.write.format("parquet").bucketBy(shuffle_width(docs.sparkSession), "block").sortBy("block").saveAsTable(name)
     return docs.sparkSession.table(name), name
 
 
