@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESOLUTION = 4  # decimals of a score in curves
+RESOLUTION = 10  # decimals of a score in curves: as many as the scorers compute
 
 
 def decide(score: Column, threshold: Column, margin: float = 0.1, inverted: bool = False) -> Column:

@@ -71,7 +71,7 @@ def brier_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.brier_log_loss(method_rows(spark, sf_dir), "method")
 
 
-_CURVE = """c AS (SELECT method, round(score, 4) AS score, count(*) FILTER (WHERE truth) AS pos, count(*) FILTER (WHERE NOT truth) AS neg FROM m GROUP BY 1, 2),
+_CURVE = """c AS (SELECT method, round(score, 10) AS score, count(*) FILTER (WHERE truth) AS pos, count(*) FILTER (WHERE NOT truth) AS neg FROM m GROUP BY 1, 2),
   k AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY method) AS p, sum(neg) OVER (PARTITION BY method) AS n FROM c WINDOW w AS (PARTITION BY method ORDER BY score DESC))"""
 
 
@@ -219,14 +219,14 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.permutation(method_rows(spark, sf_dir), "doc_id", "consistency", "diversity", 100)
 
 
-@query("""WITH c AS (SELECT event_type, ts::DATE >= DATE '2024-01-16' AS late, round(value, 2) AS v FROM events), g AS (SELECT event_type, v, count(*) FILTER (WHERE NOT late) AS a, count(*) FILTER (WHERE late) AS b FROM c GROUP BY 1, 2),
+@query("""WITH c AS (SELECT event_type, ts::DATE >= DATE '2024-01-16' AS late, value AS v FROM events), g AS (SELECT event_type, v, count(*) FILTER (WHERE NOT late) AS a, count(*) FILTER (WHERE late) AS b FROM c GROUP BY 1, 2),
   k AS (SELECT event_type, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY event_type) AS na, sum(b) OVER (PARTITION BY event_type) AS nb FROM g WINDOW w AS (PARTITION BY event_type ORDER BY v)),
   d AS (SELECT event_type, max(abs(ca / na - cb / nb)) AS d, max(na)::BIGINT AS n1, max(nb)::BIGINT AS n2 FROM k WHERE na > 0 AND nb > 0 GROUP BY 1),
   l AS (SELECT *, (en + 0.12 + 0.11 / en) * d AS lam FROM (SELECT *, sqrt(n1 * n2 / (n1 + n2)) AS en FROM d))
   SELECT event_type, n1, n2, round(d, 9) AS ks, round(least(1.0, greatest(0.0, list_sum(list_transform(range(1, 11), lambda j: 2 * pow(-1, j - 1) * exp(-2.0 * j * j * lam * lam))))), 6) AS p_value FROM l""")
 def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of event values between the first and the second half of the month."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.round("value", 2).alias("v"), (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("late"))
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("v"), (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("late"))
     return E.two_sample_ks(rows, "v", F.col("late"), "event_type")
 
 

@@ -124,7 +124,7 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("v.accepted").alias("accepted"), F.round(F.avg("v.votes"), 6).alias("mean_votes"), F.round(F.avg("v.confidence"), 6).alias("mean_confidence"))
 
 
-_SC = f"(SELECT method, round(1 - score, 4) AS nc, truth FROM ({METHODS_SQL}))"
+_SC = f"(SELECT method, round(1 - score, 10) AS nc, truth FROM ({METHODS_SQL}))"
 _QUANT = f"""q AS (SELECT method, n, round(s[lo] + least(1.0, greatest(0.0, h - lo)) * (s[least(lo + 1, n)] - s[lo]), 9) AS q_interpolated, round(quantile, 9) AS q_linear, s[least(ceil(round(h, 9)), n)::BIGINT] AS q_ceiling
   FROM (SELECT *, least(greatest(floor(h), 1), n)::BIGINT AS lo FROM (SELECT method, list(nc ORDER BY nc) AS s, count(*) AS n, (1 - 0.1::DOUBLE) * (count(*) + 1) AS h, quantile_cont(nc, 0.9) AS quantile FROM {_SC} WHERE truth GROUP BY 1)))"""
 
@@ -132,13 +132,13 @@ _QUANT = f"""q AS (SELECT method, n, round(s[lo] + least(1.0, greatest(0.0, h -
 @query(f"WITH {_QUANT} SELECT * FROM q")
 def conformal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of nonconformity on correct rows by three definitions."""
-    rows = method_rows(spark, sf_dir).filter("truth").select("method", F.round(1 - F.col("score"), 4).alias("nc"))
+    rows = method_rows(spark, sf_dir).filter("truth").select("method", F.round(1 - F.col("score"), 10).alias("nc"))
     return D.conformal_quantiles(rows, "nc", 0.1, "method")
 
 
 @query(f"WITH {_QUANT} SELECT s.method, CASE WHEN nc <= q_ceiling THEN 'ACCEPT' WHEN nc <= q_ceiling + 0.05 THEN 'ESCALATE' ELSE 'REJECT' END AS decision, truth, count(*) AS n FROM {_SC} s JOIN q ON q.method = s.method GROUP BY 1, 2, 3")
 def conformal_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = method_rows(spark, sf_dir).select("method", "truth", F.round(1 - F.col("score"), 4).alias("nc"))
+    rows = method_rows(spark, sf_dir).select("method", "truth", F.round(1 - F.col("score"), 10).alias("nc"))
     q = D.conformal_quantiles(rows.filter("truth"), "nc", 0.1, "method").select("method", "q_ceiling")
     decided = rows.join(q, "method").select("method", D.conformal_decision(F.col("nc"), F.col("q_ceiling")).alias("decision"), "truth")
     return decided.groupBy("method", "decision", "truth").agg(F.count(F.lit(1)).alias("n"))
@@ -147,13 +147,13 @@ def conformal_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DELTAS = (0.05, 0.1, 0.2)
 
 
-@query(f"""WITH s AS (SELECT method, round(1 - score, 4) AS nc, (('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT) % 2 = 0 AS calib FROM ({METHODS_SQL}) WHERE truth),
+@query(f"""WITH s AS (SELECT method, round(1 - score, 10) AS nc, (('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT) % 2 = 0 AS calib FROM ({METHODS_SQL}) WHERE truth),
   q AS (SELECT method, delta, list(nc ORDER BY nc)[least(ceil(round((1 - delta) * (count(*) + 1), 9)), count(*))::BIGINT] AS t FROM s, (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS delta) WHERE calib GROUP BY 1, 2)
   SELECT s.method, delta, count(*) AS n, round(avg((nc > t)::INT), 6) AS miscoverage, round(1.96 * sqrt(avg((nc > t)::INT) * (1 - avg((nc > t)::INT)) / count(*)), 6) AS half_width FROM s JOIN q ON q.method = s.method WHERE NOT calib GROUP BY 1, 2""")
 def coverage_by_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured miscoverage on the half of correct rows that did not calibrate."""
     half = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), 16, 10).cast("bigint") % 2 == 0
-    rows = method_rows(spark, sf_dir).filter("truth").select("method", F.round(1 - F.col("score"), 4).alias("nc"), half.alias("calib"))
+    rows = method_rows(spark, sf_dir).filter("truth").select("method", F.round(1 - F.col("score"), 10).alias("nc"), half.alias("calib"))
     tested = None
     for delta in _DELTAS:
         q = D.conformal_quantiles(rows.filter("calib"), "nc", delta, "method").select("method", F.col("q_ceiling").alias("t"), F.lit(delta).alias("delta"))
