@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cascade import OP11_SQL, op11_quality_rules
 from .chunks import op9_fingerprints
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op7_html_text
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_model": op10_language_model,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op11_quality_rules": OP11_SQL,
 }
