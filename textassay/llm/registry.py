@@ -13,6 +13,7 @@ from .html_text import op7_html_text
 from .mixing import op3_mixing
 from .packing import op6_packing
 from .pitman_yor import op10_language_model
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op5_quality
 from .repeats import op8_repeats
 from .secrets import op4_secrets
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_language_model": op10_language_model,
     "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
