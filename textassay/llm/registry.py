@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_alignment
 from .cascade import OP11_SQL, op11_quality_rules
 from .chunks import op9_fingerprints
 from .exact_dedup import OP1_SQL, op1_exact_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_model": op10_language_model,
     "op11_quality_rules": op11_quality_rules,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
