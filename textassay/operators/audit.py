@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from .folds import Chain, Digest, ordered_fold
+from .ranks import numbered
+
 
 def hash_chain(rows: DataFrame, entry_hash: str, order: list[str], *by: str) -> DataFrame:
     """Root of each segment: the fold of sha256(root || hash) over raw bytes in order, from 32 zero bytes."""
-    entries = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(entry_hash).alias("__h")))).alias("e"))
-    fold = F.aggregate("e", F.lit("00" * 32), lambda a, x: F.sha2(F.concat(F.unhex(a), F.unhex(x["__h"])), 256))
-    return entries.select(*by, F.size("e").cast("bigint").alias("entries"), fold.alias("root"))
+    return ordered_fold(rows.select(*by, *order, F.unhex(entry_hash).alias("__h")), "__h", order, Chain, *by, name="root")
 
 
 def merkle_root(leaves: Column) -> Column:
@@ -26,10 +28,74 @@ def merkle_root(leaves: Column) -> Column:
     return F.when(F.size(leaves) == 0, "0" * 64).otherwise(F.element_at(root, 1))
 
 
+#: Levels made in one step: a block of 2^LEVELS nodes becomes one, and no task gathers more.
+LEVELS = 10
+
+
+def _climb(nodes: Column, total: Column) -> Column:
+    """The levels over a block of nodes, of a level that has `total` in all; none above the root."""
+
+    def up(level: Column) -> Column:
+        n = F.size(level)
+        return F.transform(F.sequence(F.lit(1), F.ceil(n / 2).cast("int")), lambda i: F.sha2(F.concat(F.element_at(level, 2 * i - 1), F.element_at(level, F.least(2 * i, n))), 256))
+
+    more = lambda k: F.ceil(total / F.pow(F.lit(2.0), (k - 1).cast("double"))) > 1
+    step = lambda levels, k: F.concat(levels, F.array(F.when(more(k), up(F.element_at(levels, -1))).otherwise(F.array().cast("array<string>"))))
+    return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.array(nodes), step), 2, LEVELS)
+
+
+def merkle_tree(rows: DataFrame, leaf: str, order: list[str], *by: str) -> DataFrame:
+    """(by, level, index, hash, leaves) of every node of each group's tree over its hexadecimal leaf hashes in order; an odd
+    last node is paired with itself. A group's tree is made in blocks by many tasks, ten levels a step."""
+    base = numbered(rows.select(*by, *order, F.col(leaf).alias("hash")), order, *by, rank="index", n="leaves").select(*by, F.lit(0).alias("level"), "index", "hash", "leaves")
+    base = staged(base, "merkle-0")
+    levels, at, low, most = [base], base, 0, base.agg(F.max("leaves")).head()[0] or 0
+    while most > 1:
+        n = F.ceil(F.col("leaves") / float(1 << low))
+        blocks = at.filter(n > 1).groupBy(*by, F.shiftright("index", LEVELS).alias("__b")).agg(F.array_sort(F.collect_list(F.struct("index", "hash"))).alias("x"), F.max("leaves").alias("leaves"))
+        climbed = blocks.select(*by, "__b", "leaves", F.posexplode(_climb(F.transform("x", lambda x: x["hash"]), n)).alias("l", "nodes")).select(*by, "__b", "leaves", "l", F.posexplode("nodes").alias("p", "hash"))
+        index = F.expr(f"shiftleft(__b, {LEVELS - 1} - l) + p")
+        made = staged(climbed.select(*by, (F.col("l") + low + 1).alias("level"), index.alias("index"), "hash", "leaves"), "merkle")
+        levels.append(made)
+        low, most = low + LEVELS, (most + (1 << LEVELS) - 1) >> LEVELS
+        at = made.filter(F.col("level") == low)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def merkle_roots_of(tree: DataFrame, *by: str) -> DataFrame:
+    return tree.groupBy(*by).agg(F.max("leaves").alias("leaves"), F.max_by("hash", "level").alias("root"))
+
+
+def merkle_proofs(tree: DataFrame, *by: str, of: Column | None = None) -> DataFrame:
+    """(by, index, hash, leaves, proof) of the leaves (those that `of` selects): the hashes to be joined on the way up. Siblings
+    are looked up by a join, so a proof costs its own height whatever the tree's size."""
+    leaves = tree.filter("level = 0") if of is None else tree.filter("level = 0").filter(of)
+    height = F.when(F.col("leaves") > 1, F.ceil(F.log2(F.col("leaves").cast("double"))).cast("int")).otherwise(0)
+    steps = leaves.select(*by, "index", "hash", "leaves", F.explode_outer(F.when(height > 0, F.sequence(F.lit(0), height - 1))).alias("level"))
+    sibling = F.expr("least(shiftright(index, level) ^ 1L, CAST(ceil(leaves / power(2.0D, level)) AS BIGINT) - 1)")
+    asked = steps.withColumn("__s", sibling)
+    nodes = tree.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("level").alias("__level"), F.col("index").alias("__index"), F.col("hash").alias("__hash"))
+    same = (F.col("level") == F.col("__level")) & (F.col("__s") == F.col("__index"))
+    for k, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"__by{k}"))
+    joined = asked.join(nodes, same, "left")
+    path = F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "__hash"))))  # one for each level
+    return joined.groupBy(*by, "index", "hash", "leaves").agg(path.alias("p")).select(*by, "index", "hash", "leaves", F.transform("p", lambda x: x["__hash"]).alias("proof"))
+
+
+def proved_root(leaf: Column, index: Column, proof: Column) -> Column:
+    """The root that a leaf's proof leads to."""
+    start = F.struct(leaf.alias("h"), index.cast("bigint").alias("i"))
+    pair = lambda a, s: F.when(a["i"] % 2 == 0, F.concat(a["h"], s)).otherwise(F.concat(s, a["h"]))
+    return F.aggregate(proof, start, lambda a, s: F.struct(F.sha2(pair(a, s), 256).alias("h"), F.shiftright(a["i"], 1).alias("i")))["h"]
+
+
 def batch_root(rows: DataFrame, root: str, order: str, *by: str) -> DataFrame:
     """sha256 of the hexadecimal roots, concatenated in order."""
-    gathered = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, root))).alias("r"))
-    return gathered.select(*by, F.sha2(F.array_join(F.transform("r", lambda x: x[root]), ""), 256).alias("batch_root"))
+    return ordered_fold(rows.select(*by, order, F.col(root).cast("binary").alias("__h")), "__h", [order], Digest, *by, name="batch_root").drop("entries")
 
 
 def canonical_json(fields: dict[str, Column], decimals: int = 9) -> Column:

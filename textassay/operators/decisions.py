@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def conformal_quantiles(scores: DataFrame, score: str, delta: float, *by: str) -> DataFrame:
-    """Three thresholds at miscoverage delta: interpolated at (1 - delta)(n + 1), linear, and the ceiling's element.
-
-    Scores are counted by value first, so the windows run over different values and not over rows.
-    """
-    counts = scores.groupBy(*by, F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run, every = Window.partitionBy(*by).orderBy("v"), Window.partitionBy(*by)
-    placed = counts.select(*by, "v", F.sum("c").over(run).alias("upto"), F.sum("c").over(every).alias("n"))
-    rank = (1 - delta) * (F.col("n") + 1)
-    whole = F.least(F.greatest(F.floor(rank), F.lit(1)), F.col("n"))
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
-    upper = F.least(whole + 1, F.col("n"))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rank - whole))
-    linear = (1 - delta) * (F.col("n") - 1)
+from .ranks import counted, numbered, running, value_at
+
+
+def conformal_quantiles(scores: DataFrame, score: str, delta: float | list[float], *by: str) -> DataFrame:
+    """Three thresholds at miscoverage delta: interpolated at (1 - delta)(n + 1), linear, and the ceiling's element. With
+    a list of deltas, a row for each, under `delta`."""
+    deltas = delta if isinstance(delta, list) else [delta]
+    own = ["delta"] if isinstance(delta, list) else []
+    n, keep = F.col("n"), 1 - F.col("delta")
+    ranked = counted(scores.withColumn("v", F.col(score)).select(*by, "v"), "v", *by).withColumnRenamed("all_c", "n")
+    placed = ranked.withColumn("delta", F.explode(F.array(*map(F.lit, deltas))))
+    rank = keep * (n + 1)
+    whole = F.least(F.greatest(F.floor(rank), F.lit(1)), n)
+    linear = keep * (n - 1)
     low = F.floor(linear) + 1
-    top = F.least(F.ceil(F.round(rank, 9)), F.col("n"))
-    found = placed.groupBy(*by).agg(F.max("n").alias("n"), at(whole).alias("a"), at(upper).alias("b"), F.max(share).alias("s"), at(low).alias("c"), at(F.least(low + 1, F.col("n"))).alias("d"), F.max(linear - F.floor(linear)).alias("l"), at(top).alias("e"))
+    at = lambda k: value_at(k - 1, "v")
+    found = placed.groupBy(*by, "delta").agg(
+        F.max("n").alias("n"), at(whole).alias("a"), at(F.least(whole + 1, n)).alias("b"), F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rank - whole))).alias("s"),
+        at(low).alias("c"), at(F.least(low + 1, n)).alias("d"), F.max(linear - F.floor(linear)).alias("l"), at(F.least(F.ceil(F.round(rank, 9)), n)).alias("e"),
+    )
     return found.select(
-        *by, "n", F.round(F.col("a") + F.col("s") * (F.col("b") - F.col("a")), 9).alias("q_interpolated"), F.round(F.col("c") + F.col("l") * (F.col("d") - F.col("c")), 9).alias("q_linear"), F.col("e").alias("q_ceiling")
+        *by, *own, "n", F.round(F.col("a") + F.col("s") * (F.col("b") - F.col("a")), 9).alias("q_interpolated"), F.round(F.col("c") + F.col("l") * (F.col("d") - F.col("c")), 9).alias("q_linear"), F.col("e").alias("q_ceiling")
     )
 
 
@@ -42,11 +44,11 @@ def last_n(rows: DataFrame, n: int, order: str, *by: str) -> DataFrame:
 
 
 def ewma(rows: DataFrame, value: str, order: list[str], alpha: float, *by: str) -> DataFrame:
-    """Exponentially weighted mean of each group in order, seeded by its first value: an ordered fold of the group's values."""
-    values = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
-    folded = rows.groupBy(*by).agg(values.alias("x"))
-    fold = F.aggregate(F.slice(F.col("x"), 2, F.greatest(F.size("x") - 1, F.lit(1))), F.element_at("x", 1)["__v"], lambda a, s: alpha * s["__v"] + (1 - alpha) * a)
-    return folded.select(*by, F.size("x").cast("bigint").alias("n"), F.when(F.size("x") > 1, fold).otherwise(F.element_at("x", 1)["__v"]).alias("ewma"))
+    """Exponentially weighted mean of each group in order, seeded by its first value. A row's weight follows from its rank
+    and the group's size, so the mean is one sum, combined before it moves."""
+    ranked = numbered(rows, order, *by, rank="__r", n="__n")
+    weight = F.when(F.col("__r") == 0, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), (F.col("__n") - 1 - F.col("__r")).cast("double"))
+    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), F.sum(weight * F.col(value)).alias("ewma"))
 
 
 def vote(accepts: list[Column], confidences: list[Column], need: int) -> Column:
@@ -61,19 +63,9 @@ def adaptive_need(accuracy: Column) -> Column:
     return F.when(accuracy >= 0.90, 2).when(accuracy >= 0.75, 3).otherwise(3)
 
 
-def contiguous_thirds(rows: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """rows with third: 0, 1 or 2 of the rows in order (a number); the last takes the remainder. Rows of one value stay together.
-
-    Ranks come from ranges of values and not from one sort. A value's range is a function of the value alone, so both
-    uses of the ranges agree however they are computed.
-    """
-    counts = rows.groupBy(order).count()
-    bounds = sorted(set(counts.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.002)))
-    parts = counts.withColumn("__p", sum((F.coalesce(F.col(order) > b, F.lit(False)).cast("int") for b in bounds), F.lit(0)))
-    sums = parts.groupBy("__p").agg(F.sum("count").alias("s"))  # at most `ranges` rows
-    before, every = Window.orderBy("__p"), Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = sums.select("__p", (F.sum("s").over(before) - F.col("s")).alias("__o"), F.sum("s").over(every).alias("__n"))
-    w = Window.partitionBy("__p").orderBy(order)
-    ranked = parts.join(F.broadcast(offsets), "__p").select(order, (F.col("__o") + F.sum("count").over(w) - F.col("count")).alias("__r"), "__n")
-    third = F.least(F.lit(2), F.floor(F.col("__r") / F.greatest(F.floor(F.col("__n") / 3), F.lit(1))))
-    return rows.join(ranked.select(order, third.cast("int").alias("third")), order)
+def contiguous_thirds(rows: DataFrame, order: str) -> DataFrame:
+    """rows with third: 0, 1 or 2 of the rows in order; the last takes the remainder. Rows of one value stay together, and
+    null values come first."""
+    counts = running(rows.groupBy(F.col(order).alias("__v")).agg(F.count(F.lit(1)).alias("__c")), "__v", ["__c"])
+    third = F.least(F.lit(2), F.floor(F.col("before___c") / F.greatest(F.floor(F.col("all___c") / 3), F.lit(1))))
+    return rows.join(counts.select("__v", third.cast("int").alias("third")), F.col(order).eqNullSafe(F.col("__v"))).drop("__v")

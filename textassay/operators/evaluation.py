@@ -1,14 +1,16 @@
 """Evaluation of scored, labelled rows: decisions, confusion, calibration, curves, thresholds and tests.
 
-Rows are (method, score, truth[, id]). Curves first count rows by score at a fixed resolution, so their windows run
-over at most `1 / resolution + 1` rows for each method and never over the data itself.
+Rows are (method, score, truth[, id]). Curves count rows by score and take running counts over sampled ranges of scores
+(`ranks.running`), so no task holds a method.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 RESOLUTION = 10  # decimals of a score in curves: as many as the scorers compute
 
 
@@ -65,22 +67,22 @@ def score_counts(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def curve(rows: DataFrame, *by: str) -> DataFrame:
-    """One point for each score, highest first: running tp and fp, all positives and negatives, tpr, fpr, precision."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    every = Window.partitionBy(*by)
-    run = score_counts(rows, *by).select(*by, "score", "pos", "neg", *(F.sum(c).over(x).alias(n) for c, x, n in (("pos", w, "tp"), ("neg", w, "fp"), ("pos", every, "p"), ("neg", every, "n"))))
-    return run.select("*", _over(F.col("tp"), F.col("p")).alias("tpr"), _over(F.col("fp"), F.col("n")).alias("fpr"), _over(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    """One point for each score: tp and fp at or above it, all positives and negatives, tpr, fpr, precision."""
+    run = running(score_counts(rows, *by), "score", ["pos", "neg"], *by)
+    at = run.select(*by, "score", "pos", "neg", (F.col("all_pos") - F.col("before_pos")).alias("tp"), (F.col("all_neg") - F.col("before_neg")).alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
+    return at.select("*", _over(F.col("tp"), F.col("p")).alias("tpr"), _over(F.col("fp"), F.col("n")).alias("fpr"), _over(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def areas(rows: DataFrame, *by: str) -> DataFrame:
-    """Rank-based ROC area with half credit for ties, the trapezoid from the first point on, and average precision."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    points = curve(rows, *by).withColumn("before", F.lag("tpr").over(w)).withColumn("fpr_before", F.lag("fpr").over(w))
-    tied = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    out = points.groupBy(*by).agg(
-        F.sum(tied).alias("wins"), F.max("p").alias("p"), F.max("n").alias("n"),
-        F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("before")) / 2).alias("trapezoid"),
-        F.sum((F.col("tpr") - F.coalesce("before", F.lit(0.0))) * F.col("precision")).alias("auprc"),
+    """Rank-based ROC area with half credit for ties, the trapezoid from the first point on, and average precision. The
+    point before each one follows from its own counts."""
+    above_tp, above_fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    first = above_tp + above_fp == 0
+    before, fpr_before = _over(above_tp, F.col("p")), _over(above_fp, F.col("n"))
+    out = curve(rows, *by).groupBy(*by).agg(
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("wins"), F.max("p").alias("p"), F.max("n").alias("n"),
+        F.sum(F.when(~first, (F.col("fpr") - fpr_before) * (F.col("tpr") + before) / 2)).alias("trapezoid"),
+        F.sum((F.col("tpr") - before) * F.col("precision")).alias("auprc"),
     )
     return out.select(*by, F.round(_over(F.col("wins"), F.col("p") * F.col("n")), 6).alias("auroc"), F.round(F.coalesce("trapezoid", F.lit(0.0)), 6).alias("auroc_ref"), F.round("auprc", 6).alias("auprc"))
 
@@ -151,9 +153,9 @@ def separation(rows: DataFrame, *by: str) -> DataFrame:
 def two_sample_ks(rows: DataFrame, value: str, is_second: Column, *by: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples by group, and its p-value by ten terms of the series."""
     counts = rows.groupBy(*by, value).agg(F.count_if(~is_second).alias("a"), F.count_if(is_second).alias("b"))
-    run, every = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    ecdf = counts.select(*by, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(every).alias("na"), F.sum("b").over(every).alias("nb"))
-    d = ecdf.filter("na > 0 AND nb > 0").groupBy(*by).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("n1"), F.max("nb").alias("n2"))
+    run = running(counts, value, ["a", "b"], *by).filter("all_a > 0 AND all_b > 0")
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.col(f"all_{c}")
+    d = run.groupBy(*by).agg(F.max(F.abs(share("a") - share("b"))).alias("d"), F.max("all_a").alias("n1"), F.max("all_b").alias("n2"))
     en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     lam = (en + 0.12 + 0.11 / en) * F.col("d")
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0.0), lambda acc, j: acc + 2 * F.pow(F.lit(-1.0), (j - 1).cast("double")) * F.exp(-2.0 * j * j * lam * lam))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from .ranks import running
+
 
 def first_write_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. Aggregated, so a hot key is combined before the shuffle."""
@@ -18,13 +21,37 @@ def first_write_wins(rows: DataFrame, keys: list[str], order: list[str]) -> Data
 def first_write_with_ttl(rows: DataFrame, keys: list[str], ts: str, ttl_seconds: int) -> DataFrame:
     """Accepted writes: the first of each key, and each that comes once the last accepted one has expired.
 
-    An ordered fold over a key's times; the times, and not the rows, are gathered.
+    Each time points to the first one that it would let pass. Such pointers are found by ranks, where a time and its expiry
+    are ordered together, and followed from the first time on by doubling: a step reaches as many more as were reached
+    before, so the steps grow with the logarithm of a key's accepted writes, and no key's times are gathered.
     """
-    times = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.unix_micros(F.col(ts).cast("timestamp")))).alias("t"))
     gap = ttl_seconds * 1_000_000
-    empty = F.array().cast("array<bigint>")
-    taken = F.aggregate("t", empty, lambda a, x: F.when((F.size(a) == 0) | (x >= F.try_element_at(a, F.lit(-1)) + gap), F.concat(a, F.array(x))).otherwise(a))
-    return times.select(*keys, F.explode(taken).alias("__t")).select(*keys, F.timestamp_micros("__t").alias(ts))
+    times = rows.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t")).filter("__t IS NOT NULL").distinct()
+    both = times.select(*keys, "__t", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("__one"))  # expiries, 0, come before equal times
+    placed = running(both.withColumn("__at", F.col("__t") + F.when(F.col("__one") == 0, gap).otherwise(0)), ["__at", "__one"], ["__one"], *keys)
+    of = lambda one: F.max(F.when(F.col("__one") == one, F.col("before___one")))
+    linked = placed.groupBy(*keys, "__t").agg(of(1).alias("__r"), of(0).alias("__next"), F.max("all___one").alias("__n"))
+    linked = staged(linked.withColumn("__next", F.when(F.col("__next") < F.col("__n"), F.col("__next"))).drop("__n"), "expiries")
+    named = [f"__k{i}" for i in range(len(keys))]
+
+    def follow(left: DataFrame, jumps: DataFrame) -> DataFrame:
+        """left's rows with __to: where the jump from their __next, or from themselves, leads."""
+        there = jumps.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), F.col("__r").alias("__from"), F.col("__next").alias("__to")).filter("__to IS NOT NULL")
+        same = F.col("__key") == F.col("__from")
+        for k, n in zip(keys, named):
+            same &= F.col(k).eqNullSafe(F.col(n))
+        return left.join(there, same, "left").drop(*named, "__from", "__key")
+
+    reached, jumps = linked.filter("__r = 0").select(*keys, "__r"), linked.drop("__t")
+    while jumps.filter("__next IS NOT NULL").limit(1).count():
+        new = follow(reached.withColumn("__key", F.col("__r")), jumps).filter("__to IS NOT NULL").select(*keys, F.col("__to").alias("__r"))
+        reached = staged(reached.unionByName(new).distinct(), "reached")
+        jumps = staged(follow(jumps.withColumn("__key", F.col("__next")), jumps).drop("__next").withColumnRenamed("__to", "__next"), "jumps")
+    at = reached.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), F.col("__r").alias("__from"))
+    same = F.col("__r") == F.col("__from")
+    for k, n in zip(keys, named):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return linked.join(at, same, "left_semi").select(*keys, F.timestamp_micros("__t").alias(ts))
 
 
 def within_quota(rows: DataFrame, tenant: str, ts: str, order: list[str], quota: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators.ranks import quantiles
+from ..staging import staged
 from .registry import Registry, table
 from .text_queries import CONSISTENCY, SCORES_SQL, scores
 
@@ -158,10 +160,10 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql("""SELECT method, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS median,
   round(quantile_cont(score, 0.75), 6) AS q75, round(quantile_cont(score, 0.05), 6) AS outlier_cut FROM m GROUP BY 1"""))
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p, n: F.round(F.percentile("score", F.lit(p)), 6).alias(n)
-    return method_rows(spark, sf_dir).groupBy("method").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), q(0.25, "q25"), q(0.5, "median"), q(0.75, "q75"), q(0.05, "outlier_cut")
-    )
+    rows = staged(method_rows(spark, sf_dir).select("method", "score"), "scores")
+    basic = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"))
+    cuts = {"q25": 0.25, "median": 0.5, "q75": 0.75, "outlier_cut": 0.05}
+    return basic.join(quantiles(rows, "score", cuts, "method").select("method", *(F.round(c, 6).alias(c) for c in cuts)), "method")
 
 
 _BINS = "c AS (SELECT method, least(floor(score * 30), 29)::BIGINT AS bin, count(*) AS n FROM m GROUP BY 1, 2), f AS (SELECT g.method, g.bin, coalesce(c.n, 0) AS n FROM (SELECT method, bin FROM (SELECT DISTINCT method FROM m), (SELECT unnest(range(30)) AS bin)) g LEFT JOIN c ON c.method = g.method AND c.bin = g.bin)"
@@ -232,5 +234,6 @@ def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p, n: F.round(F.percentile("value", F.lit(p)), 6).alias(n)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"))
+    events, shares = table(spark, sf_dir, "events"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    n = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(quantiles(events, "value", shares, "event_type").select("event_type", *(F.round(c, 6).alias(c) for c in shares)), "event_type")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.folds import Digest, ordered_fold
+from ..operators.ranks import counted, quantiles, sliding, value_at
+from ..staging import staged
 from .eval_queries import METHODS_SQL, method_rows
 from .registry import Registry, table
 from .text_queries import SCORES_SQL, scores
@@ -25,10 +28,9 @@ def _sql(body: str) -> str:
   WHERE k = least(negatives, floor(negatives * (1 - {FPR}))::BIGINT + 1)"""))
 def threshold_by_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score that the asked share of negatives lies at or above, from counts of scores."""
-    counts = method_rows(spark, sf_dir).filter("NOT truth").groupBy("method", "score").agg(F.count(F.lit(1)).alias("c"))
-    run = counts.select("method", "score", F.sum("c").over(Window.partitionBy("method").orderBy("score")).alias("upto"), F.sum("c").over(Window.partitionBy("method")).alias("negatives"))
-    at = F.least("negatives", F.floor(F.col("negatives") * (1 - FPR)) + 1)
-    return run.filter(F.col("upto") >= at).groupBy("method", "negatives").agg(F.min("score").alias("threshold"))
+    n = F.col("all_c")
+    run = counted(method_rows(spark, sf_dir).filter("NOT truth"), "score", "method")
+    return run.groupBy("method").agg(F.max("all_c").alias("negatives"), value_at(F.least(n, F.floor(n * (1 - FPR)) + 1) - 1, "score").alias("threshold"))
 
 
 @query(_sql(f"""SELECT method, cost, round(cost / (1 - miss), 9) AS cost_per_trusted, cost / (1 - miss) = min(cost / (1 - miss)) OVER () AS best_value
@@ -44,12 +46,10 @@ def cost_best_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql("""SELECT method, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.5), 6) AS median, min(doc_id) AS oldest, max(doc_id) AS newest FROM m GROUP BY 1"""))
 def calibration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, mean, median and deviation of calibration scores; the median is read off counts of scores."""
-    rows = method_rows(spark, sf_dir)
+    """Size, mean, median and deviation of calibration scores."""
+    rows = staged(method_rows(spark, sf_dir).select("method", "score", "doc_id"), "scores")
     basic = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.min("doc_id").alias("oldest"), F.max("doc_id").alias("newest"))
-    run = rows.groupBy("method", "score").agg(F.count(F.lit(1)).alias("c")).select("method", "score", F.sum("c").over(Window.partitionBy("method").orderBy("score")).alias("upto"), F.sum("c").over(Window.partitionBy("method")).alias("all"))
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("score")))
-    middle = run.groupBy("method").agg(F.round((at(F.floor((F.col("all") + 1) / 2)) + at(F.floor(F.col("all") / 2) + 1)) / 2, 6).alias("median"))
+    middle = quantiles(rows, "score", {"q": 0.5}, "method").select("method", F.round("q", 6).alias("median"))
     return basic.join(middle, "method").select("method", "n", "mean", "std", "median", "oldest", "newest")
 
 
@@ -57,10 +57,10 @@ def calibration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT doc_id, method, avg(((decision = 'ACCEPT') <> truth)::INT) OVER (PARTITION BY method, source ORDER BY doc_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS rate FROM m)"""))
 def miscoverage_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rate over each row and the 49 before it, by method and source, against the rate allowed."""
-    w = Window.partitionBy("method", "source").orderBy("doc_id").rowsBetween(-49, 0)
-    rate = F.avg(((F.col("decision") == "ACCEPT") != F.col("truth")).cast("int")).over(w)
+    wrong = ((F.col("decision") == "ACCEPT") != F.col("truth")).cast("int")
+    rows, w = sliding(method_rows(spark, sf_dir).select("method", "source", "doc_id", wrong.alias("wrong")), "doc_id", 49, "method", "source")
     state = F.when(F.col("rate") > 1.5 * DELTA, "high").when(F.col("rate") < 0.5 * DELTA, "low").otherwise("ok")
-    return method_rows(spark, sf_dir).withColumn("rate", rate).select("doc_id", "method", F.round("rate", 9).alias("miscoverage"), state.alias("state"))
+    return rows.withColumn("rate", F.avg("wrong").over(w)).filter("own").select("doc_id", "method", F.round("rate", 9).alias("miscoverage"), state.alias("state"))
 
 
 @query(_sql("""SELECT method, tp, fp, tn, fn, round(CASE WHEN fp + tn > 0 THEN fp::DOUBLE / (fp + tn) ELSE 0.0 END, 9) AS fpr, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END, 9) AS tpr, round(CASE WHEN tp + fp > 0 THEN fp::DOUBLE / (tp + fp) ELSE 0.0 END, 9) AS false_discovery_rate
@@ -149,13 +149,16 @@ def budgeted_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.withColumn("used", used).crossJoin(F.broadcast(total)).select("event_type", "n", "used", F.round(F.col("n") / F.col("total"), 9).alias("share"), (F.col("used") <= 20).alias("kept"))  # total is one row
 
 
-@query("SELECT label, sha256(string_agg(line, chr(10) ORDER BY vec_id)) AS dataset_hash FROM (SELECT label, vec_id, printf('%.9f,%.9f', embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS line FROM embeddings WHERE vec_id IS NOT NULL) GROUP BY 1")
+@query("""WITH e AS (SELECT label, vec_id, list_aggregate(list_transform(embedding, lambda x: printf('%.9f,', x::DOUBLE)), 'string_agg', '') || chr(10) AS line FROM embeddings)
+  SELECT label, sha256(string_agg(line, '' ORDER BY vec_id, line) || string_agg(label || ',', '' ORDER BY vec_id)) AS dataset_hash FROM e GROUP BY 1""")
 def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each label's rows at nine decimals in order: what tells one training set from another. A label's lines are one value."""
-    line = F.format_string("%.9f,%.9f", F.element_at("embedding", 1).cast("double"), F.element_at("embedding", 2).cast("double"))
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").select("label", F.struct("vec_id", line.alias("line")).alias("x"))
-    lines = rows.groupBy("label").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return lines.select("label", F.sha2(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), 256).alias("dataset_hash"))
+    """Digest of each label's training set: a line of nine-decimal numbers for each row, all dimensions, then the labels.
+    Lines are made by many tasks; only the digest's state passes along a label."""
+    e = table(spark, sf_dir, "embeddings")
+    line = F.concat(F.array_join(F.transform("embedding", lambda x: F.format_string("%.9f,", x.cast("double"))), ""), F.lit("\n"))
+    rows = e.select("label", "vec_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), line.alias("x")), F.struct(F.lit(1).alias("k"), F.concat(F.col("label").cast("string"), F.lit(",")).alias("x")))).alias("p"))
+    folded = ordered_fold(rows.select("label", "p.k", "vec_id", F.col("p.x").cast("binary").alias("x")), "x", ["k", "vec_id"], Digest, "label", name="dataset_hash")
+    return folded.drop("entries")
 
 
 @query(_sql(f"""SELECT method, round(a, 6) AS before, round(b, 6) AS after, a - b > {DRIFT} AS drifted FROM (SELECT method, avg(((decision = 'ACCEPT') = truth)::INT) FILTER (WHERE doc_id % 2 = 0) AS a, avg(((decision = 'ACCEPT') = truth)::INT) FILTER (WHERE doc_id % 2 = 1) AS b FROM m GROUP BY 1)"""))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pii, text as T
+from ..operators.ranks import quantiles
+from ..staging import staged
 from .registry import Registry, table
 
 query = Registry()
@@ -191,8 +193,9 @@ def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scores(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", F.expr(f"round(0.5 * (1.0 - {CONSISTENCY}) + 0.3 * repetition + 0.2 * (1.0 - diversity), 9)").alias("risk"), (F.size(pii.found(F.col("text"), "email")) > 0).alias("pii")
     )
+    docs = staged(docs, "risks")  # scored once, for the threshold and the decisions
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    t = docs.join(good, "doc_id").agg(F.round(F.percentile("risk", F.lit(0.9)), 9).alias("t"))
+    t = quantiles(docs.join(good, "doc_id"), "risk", {"t": 0.9}).select(F.round("t", 9).alias("t"))
     risk, limit = F.col("risk"), F.col("t")
     return docs.crossJoin(F.broadcast(t)).groupBy("source").agg(  # t is one row
         F.count(F.lit(1)).alias("n"), F.count_if(risk <= limit).alias("accepted"), F.count_if((risk > limit) & (risk <= limit + 0.05)).alias("escalated"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pcs as P
 from ..functions import text as T
 from ..operators import decisions as D
+from ..staging import staged
 from .eval_queries import METHODS_SQL, method_rows
 from .registry import Registry, table
 from .text_queries import SCORES_SQL, scores
@@ -154,10 +155,8 @@ def coverage_by_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured miscoverage on the half of correct rows that did not calibrate."""
     half = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), 16, 10).cast("bigint") % 2 == 0
     rows = method_rows(spark, sf_dir).filter("truth").select("method", F.round(1 - F.col("score"), 10).alias("nc"), half.alias("calib"))
-    tested = None
-    for delta in _DELTAS:
-        q = D.conformal_quantiles(rows.filter("calib"), "nc", delta, "method").select("method", F.col("q_ceiling").alias("t"), F.lit(delta).alias("delta"))
-        tested = q if tested is None else tested.unionByName(q)
+    rows = staged(rows, "scores")
+    tested = D.conformal_quantiles(rows.filter("calib"), "nc", list(_DELTAS), "method").select("method", "delta", F.col("q_ceiling").alias("t"))
     out = rows.filter("NOT calib").join(tested, "method").withColumn("miss", (F.col("nc") > F.col("t")).cast("int"))
     m = F.avg("miss")
     return out.groupBy("method", "delta").agg(F.count(F.lit(1)).alias("n"), F.round(m, 6).alias("miscoverage"), F.round(1.96 * F.sqrt(m * (1 - m) / F.count(F.lit(1))), 6).alias("half_width"))
