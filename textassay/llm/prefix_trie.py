@@ -167,6 +167,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     different = ends.groupBy("digest").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("weight")).drop("digest")
     apart = stage(chains.where("depth > 0").join(different, "conv_id"), "trie-prefixes")
     nodes = apart.groupBy("depth", "digest").agg(F.min("conv_id").alias("holder"), F.sum("weight").alias("n_convs"), F.max(~F.col("last")).alias("goes_on"))
+    nodes = stage(nodes, "trie-counts")  # joined by exchanges of their own, which adaptive execution splits where a node is in many chains
     chain = Window.partitionBy("conv_id").orderBy(F.desc("depth"))  # from the end up
     held = F.col("holder") == F.col("conv_id")
     on_chain = apart.join(nodes, ["depth", "digest"]).select(
@@ -185,7 +186,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(n) for c, n in (("child", "n_children"), ("leaf", "n_leaves"), ("saved", "saved_tokens"))]
     firsts = [F.max(F.when(own, F.col(c))).alias(n) for c, n in (("conv_id", "conv_id"), ("parent", "parent_conv_id"), ("n_convs", "n_convs"))]
     below = stage(on_chain.where("holds").groupBy("depth", "digest").agg(*sums, *firsts), "trie-nodes")
-    unstage(apart)
+    unstage(apart, nodes)
     columns = ["digest", "conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
     least = F.lit(total["least"]).cast("long")
     root = below.where("depth = 1").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
