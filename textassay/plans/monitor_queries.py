@@ -24,13 +24,13 @@ def _sql(body: str) -> str:
     return f"WITH m AS ({METHODS_SQL}) {body}"
 
 
-@query(_sql(f"""SELECT method, negatives, threshold FROM (SELECT method, score AS threshold, row_number() OVER (PARTITION BY method ORDER BY score, doc_id) AS k, count(*) OVER (PARTITION BY method) AS negatives FROM m WHERE NOT truth)
-  WHERE k = least(negatives, floor(negatives * (1 - {FPR}))::BIGINT + 1)"""))
+@query(_sql(f"""SELECT method, n, threshold FROM (SELECT method, score AS threshold, row_number() OVER (PARTITION BY method ORDER BY score, doc_id) AS k, count(*) OVER (PARTITION BY method) AS n FROM m)
+  WHERE k = least(n - 1, floor(n * (1 - {FPR}::DOUBLE))::BIGINT) + 1"""))
 def threshold_by_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score that the asked share of negatives lies at or above, from counts of scores."""
+    """The score at rank n(1 - rate) of all scores, from 0: what lies above it is called bad."""
     n = F.col("all_c")
-    run = counted(method_rows(spark, sf_dir).filter("NOT truth"), "score", "method")
-    return run.groupBy("method").agg(F.max("all_c").alias("negatives"), value_at(F.least(n, F.floor(n * (1 - FPR)) + 1) - 1, "score").alias("threshold"))
+    run = counted(method_rows(spark, sf_dir), "score", "method")
+    return run.groupBy("method").agg(F.max("all_c").alias("n"), value_at(F.least(n - 1, F.floor(n * (1 - FPR))), "score").alias("threshold"))
 
 
 @query(_sql(f"""SELECT method, cost, round(cost / (1 - miss), 9) AS cost_per_trusted, cost / (1 - miss) = min(cost / (1 - miss)) OVER () AS best_value

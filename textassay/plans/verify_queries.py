@@ -24,7 +24,7 @@ PCS_SQL = f"""SELECT *, CASE WHEN list_min(counts) > 0 THEN round({_SLOPES}[4],
   SELECT s.doc_id, s.source, sha256(s.text) AS merkle_root, (s.doc_id % 7)::BIGINT AS epoch, diversity AS coh_star, density AS r, 0.4::DOUBLE AS budget, CASE WHEN s.doc_id % 3 = 0 THEN 'sticky' ELSE 'mixed' END AS regime,
     [len(list_distinct(list_transform(w, lambda x: x[1:1]))), len(list_distinct(list_transform(w, lambda x: x[1:2]))), len(list_distinct(list_transform(w, lambda x: x[1:3]))), len(list_distinct(list_transform(w, lambda x: x[1:4])))] AS counts
   FROM ({SCORES_SQL}) s JOIN (SELECT doc_id, {_LOW} AS w FROM documents) d ON s.doc_id = d.doc_id))"""
-_DH = "coalesce(round(recomputed_d + bump, 9), 0.0)"
+D_HAT_SQL = "coalesce(round(recomputed_d + bump, 9), 0.0)"
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _prefix(k: int):
 
 
 def _pcs(body: str) -> str:
-    return f"WITH p AS (SELECT *, {_DH} AS d_hat FROM ({PCS_SQL})) {body}"
+    return f"WITH p AS (SELECT *, {D_HAT_SQL} AS d_hat FROM ({PCS_SQL})) {body}"
 
 
 @query(_pcs("SELECT doc_id, counts[1]::BIGINT AS n2, counts[2]::BIGINT AS n4, counts[3]::BIGINT AS n8, counts[4]::BIGINT AS n16, recomputed_d AS dhat_upper, round((sl[3] + sl[4]) / 2, 9) AS dhat_average FROM p"))
