@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import eval_queries, log_queries, model_queries, monitor_queries, ops_queries, signal_queries, text_queries, verify_queries
+from . import eval_queries, log_queries, model_queries, monitor_queries, ops_queries, signal_queries, study_queries, text_queries, verify_queries
 
-MODULES = (text_queries, eval_queries, verify_queries, ops_queries, signal_queries, monitor_queries, model_queries, log_queries)
+MODULES = (text_queries, eval_queries, verify_queries, ops_queries, signal_queries, monitor_queries, model_queries, log_queries, study_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
