@@ -6,8 +6,11 @@ adverts, forms and reader comments are known by their element, role, class or id
 stop-word density and length; blocks too short or too plain to tell stay undecided. In the second pass an undecided
 block takes the label of the nearest decided block of the same article, or of the page where there is no article;
 between two equally near it is good if either is. A section with no decided block is good inside an article and,
-elsewhere, good unless it is made of links. Where a page has no good block at all but prose under a class or id that
-would set it apart, that name is not believed. A link ends where it is closed or where the element around it ends.
+elsewhere, good unless it is made of links. A form, and a class or id of layout (a side, a header, a widget), are weighed
+against the page: where one holds far more prose than all that stands elsewhere it is not believed, so a page framework's
+form around everything costs nothing. Where a page has no good block at all but prose under any class or id that would set
+it apart, that name is not believed either. Where articles hold most of the good text the rest of the page is left out. A
+link ends where it is closed or where the element around it ends.
 
 Defined results: a null or blank page has an empty text; unclosed and cut-off markup ends with the page; character
 references are decoded once; very long pages are read whole; ties in distance go to good; repeated rows get equal rows; an empty table gives an empty result; extra columns are
@@ -43,7 +46,7 @@ BLOCK = frozenset(
 UNSEEN = frozenset("script style noscript template iframe object embed svg math canvas audio video head textarea select button noframes".split())
 RAW = frozenset("script style textarea title noframes iframe".split())
 #: Elements that are never part of the main text.
-APART = frozenset("nav footer aside form menu dialog".split())
+APART = frozenset("nav footer aside menu dialog".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 APART_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|side|"
@@ -51,6 +54,10 @@ APART_NAMES = re.compile(
     r"search|pagination|pager|toolbar|copyright|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, names of layout: they may stand around the main text as well.
+LAYOUT_NAMES = re.compile(r"(?:banner|notice|alert|popup|modal|overlay|sidebar|side|widget|header|masthead)$", re.I)
+#: How surely an element is apart: layout, a name, or a rule of the language.
+LAYOUT, NAME, RULE = 1, 2, 3
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -64,8 +71,8 @@ CUT_OFF = re.compile(r"<(?:/?[a-zA-Z][^<>]*|/|!-?)?$")
 class Block:
     text: str
     linked: int = 0
-    apart: bool = False
-    named: bool = False  # set apart by a class or id alone
+    apart: int = 0  # LAYOUT, NAME or RULE
+    holder: int = 0  # the innermost element of layout around it
     article: int = 0  # 0: the page; else the number of the article that holds it
     heading: bool = False
     label: str = ""
@@ -74,8 +81,8 @@ class Block:
 @dataclass(slots=True)
 class _Open:
     name: str
-    apart: bool
-    named: bool
+    apart: int
+    holder: int
     article: int
     unseen: bool
 
@@ -89,6 +96,7 @@ class BlockRules:
     low_stops: float = 0.12
     stops: float = 0.2
     misnamed: int = 200  # characters of prose that outvote their containers' names where a page has no other
+    outweighs: float = 2.0  # times the prose elsewhere that prose under a name of layout must have to outvote it
     words: frozenset = field(default=STOP_WORDS)
 
     def first(self, b: Block) -> str:
@@ -106,13 +114,25 @@ class BlockRules:
     def classify(self, blocks: list[Block]) -> None:
         for b in blocks:
             b.label = self.first(b)
+        prose = lambda found: sum(len(b.text) for b in found if self.first(replace(b, apart=0)) == "good")
+
+        def believe_not(found: list[Block]) -> None:
+            for b in found:
+                b.apart = 0
+                b.label = self.first(b)
+
+        held: dict[int, list[Block]] = {}
+        for b in blocks:
+            if b.apart == LAYOUT:
+                held.setdefault(b.holder, []).append(b)
+        if held:
+            largest = max(held.values(), key=prose)
+            if prose(largest) >= max(self.misnamed, self.outweighs * sum(len(b.text) for b in blocks if b.label == "good")):
+                believe_not(largest)
         if not any(b.label == "good" for b in blocks):  # all prose may stand under a name that misleads
-            named = [b for b in blocks if b.apart and b.named]
-            dense = [b for b in named if self.first(replace(b, apart=False)) == "good"]
-            if sum(len(b.text) for b in dense) >= self.misnamed:
-                for b in named:
-                    b.apart = False
-                    b.label = self.first(b)
+            named = [b for b in blocks if b.apart in (LAYOUT, NAME)]
+            if prose(named) >= self.misnamed:
+                believe_not(named)
         by: dict[int, list[int]] = {}
         for i, b in enumerate(blocks):
             if not b.apart:
@@ -128,19 +148,26 @@ class BlockRules:
                     at += 1
                 near = [(abs(decided[j][0] - k), decided[j][1] != "good", decided[j][1]) for j in (at - 1, at) if 0 <= j < len(decided)]
                 b.label = min(near)[2] if near else "good" if article or b.linked <= self.most_links * len(b.text) else "bad"
+        inside, outside = (sum(len(b.text) for b in blocks if b.label == "good" and bool(b.article) == x) for x in (True, False))
+        if inside >= outside and inside:
+            for b in blocks:
+                if not b.article:
+                    b.label = "bad"
 
 
-def _apart(name: str, attributes: str, inside: bool) -> str:
-    """Why an element is never part of the main text: "rule" or, by its class or id alone, "name"; else empty."""
-    found = ""
+def _apart(name: str, attributes: str, inside: bool) -> int:
+    """How surely an element is never part of the main text: 0, LAYOUT, NAME or RULE."""
+    found = LAYOUT if name == "form" else 0
     if name in APART or name == "header" and not inside:
-        return "rule"
+        return RULE
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in APART_ROLES or key == "style" and HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
-            return "rule"
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and APART_NAMES.search(value):
-            found = "name"
+            return RULE
+        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+            names = [m[0].strip(" \t\r\n_-") for m in APART_NAMES.finditer(value)]
+            if names:
+                found = max(found, LAYOUT if all(map(LAYOUT_NAMES.match, names)) else NAME)
     return found
 
 
@@ -148,20 +175,20 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order; blank ones are left out."""
     out: list[Block] = []
     stack: list[_Open] = []
-    articles = 0
+    articles = holders = 0
     run: list[str] = []
     linked = links = depth = 0  # depth: elements open around the current link
     heading = False
     page = CUT_OFF.sub("", page)
 
     def top() -> _Open:
-        return stack[-1] if stack else _Open("", False, False, 0, False)
+        return stack[-1] if stack else _Open("", 0, 0, 0, False)
 
     def close_block() -> None:
         nonlocal run, linked
         if text := " ".join("".join(run).split()):
             t = top()
-            out.append(Block(text, linked, t.apart, t.named, t.article, heading))
+            out.append(Block(text, linked, t.apart, t.holder, t.article, heading))
         run, linked = [], 0
 
     def data(raw: str) -> None:
@@ -210,7 +237,8 @@ def blocks(page: str) -> list[Block]:
             article = articles
         if name in BLOCK or name in UNSEEN or attributes:
             why = _apart(name, attributes, bool(t.article))
-            stack.append(_Open(name, t.apart or bool(why), t.named if t.apart else why == "name", article, t.unseen or name in UNSEEN or name == "title"))
+            holders += why == LAYOUT
+            stack.append(_Open(name, max(t.apart, why), holders if why == LAYOUT else t.holder, article, t.unseen or name in UNSEEN or name == "title"))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
