@@ -14,9 +14,11 @@ def shingle_overlap(left: DataFrame, left_id: str, right: DataFrame, right_id: s
     The smaller side's shingles are an inverted index; documents reach it by an equality join on the shingle, so
     only pairs with something in common are made; a posting carries its text's number of shingles.
     """
+
     def posted(df: DataFrame, i: str, name: str) -> DataFrame:
         own = df.select(F.col(i).alias(name), F.array_distinct(T.shingles(T.tokens(F.col(text_col)), size)).alias("all"))
-        return own.select(name, F.size("all").alias(f"n_{name}"), F.explode("all").alias("s"))
+        # explode_outer: under explode Spark infers a filter that makes all shingles twice more; its nulls join with nothing
+        return own.select(name, F.size("all").alias(f"n_{name}"), F.explode_outer("all").alias("s"))
 
     met = posted(left, left_id, "l").join(posted(right, right_id, "r"), "s")
     sized = met.groupBy("l", "r", "n_l", "n_r").agg(F.count(F.lit(1)).alias("common"))
