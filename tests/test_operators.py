@@ -120,3 +120,38 @@ def test_routed_sink_writes_once(spark, tmp_path):
     for _ in range(2):
         sink(spark.range(8), 0)
     assert spark.read.parquet(f"file://{tmp_path}/ok").count() == 5
+
+
+def test_more_sources(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    (tmp_path / "fever.jsonl").write_text("".join(f'{{"id":"{k}","claim":"c","label":"SUPPORTS"}}\n' for k in range(5)))
+    (tmp_path / "hallulens.jsonl").write_text('{"id":"1","prompt":"p","response":"r","hallucinated":true,"category":"c"}\n')
+    assert sorted(r.source for r in R.all_benchmarks(spark, base, {"fever": 2}).collect()) == ["fever", "fever", "hallulens"]
+    with __import__("pytest").raises(ValueError):
+        R.all_benchmarks(spark, f"{base}/none")
+    (tmp_path / "p.csv").write_text("timestamp,x,y,z\n1.5,0.10,2,3\nbad,1,2,3\n")
+    assert [tuple(r) for r in R.point_csv(spark, f"{base}/p.csv").collect()] == [(1.5, 0.1, 2.0, 3.0, "1.500000000,0.10,2,3")]
+    (tmp_path / "g.json").write_text('{"service":{"description":"s"},"cost":1.5,"usage_start_time":"2024-01-01T00:00:00Z"}\n{"service":null}\n')
+    (tmp_path / "a.csv").write_text("ServiceName,ResourceGroup,Cost,UsageDate,Currency\nvm,g,2.5,2024-01-02,USD\nvm,g,x,2024-01-02,USD\n")
+    assert [(r.service, r.cost, r.ts.day) for r in R.gcp_billing(spark, f"{base}/g.json").unionByName(R.azure_costs(spark, f"{base}/a.csv")).collect()] == [("s", 1.5, 1), ("vm", 2.5, 2)]
+    words = spark.createDataFrame([("Factual",), (" yes",), ("0.7",), ("hallucination",), ("0.5",), (None,), ("odd",)], "w string")
+    assert [r.t for r in words.select(R.ground_truth(F.col("w")).alias("t")).collect()] == [True, True, True, False, False, False, False]
+
+
+def test_strategies(spark):
+    from textassay.operators.strategies import Strategies
+
+    own = Strategies()
+    own.register("double", "x", cost=0.5)(lambda x: 2 * x)
+    own.register("sum", "x", "y")(lambda x, y: x + y)
+    rows = spark.createDataFrame([(1, 0.2, 0.1), (2, 0.4, 0.5)], "id int, x double, y double")
+    table = lambda c: spark.createDataFrame(c, "config string, strategy string, threshold double, margin double, inverted boolean")
+    found = {(r.id, r.config): (round(r.score, 9), r.decision, r.cost) for r in own.run(rows, table([("a", "double", 0.5, 0.1, False), ("b", "double", 0.5, 0.1, True), ("c", "sum", 0.35, 0.1, False)])).collect()}
+    assert found == {(1, "a"): (0.4, "ESCALATE", 0.5), (2, "a"): (0.8, "ACCEPT", 0.5), (1, "b"): (0.4, "ACCEPT", 0.5), (2, "b"): (0.8, "REJECT", 0.5), (1, "c"): (0.3, "ESCALATE", 0.0), (2, "c"): (0.9, "ACCEPT", 0.0)}
+    assert own.run(rows, table([])).count() == 0
+    for bad in ([("a", "none", 0.5, 0.1, False)],):
+        with __import__("pytest").raises(ValueError):
+            own.run(rows, table(bad))
+    with __import__("pytest").raises(ValueError):
+        own.register("sum", "x")
+        own.register("sum", "x")(lambda x: x)

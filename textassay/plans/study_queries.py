@@ -12,8 +12,9 @@ from ..functions import pcs as P
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import timeline as L
+from ..operators.strategies import Strategies
 from ..staging import staged
-from .eval_queries import METHODS_SQL, method_rows
+from .eval_queries import METHODS_SQL, THRESHOLDS, method_rows
 from .model_queries import SIGNALS_SQL, signals
 from .registry import Registry, table
 from .verify_queries import D_HAT_SQL, PCS_SQL, SCALES, summaries
@@ -207,3 +208,91 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = wide.join(p95, "at").select("at", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), v.alias("value"), on.alias("active")) for n, (v, on) in rules.items()))).alias("x")).select("at", "x.*")
     fired = L.firing(states, "at", F.col("active"), STEP_S, FOR_S, "rule")
     return fired.select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("step"), "rule", F.round("value", 6).alias("value"), "active", "firing")
+
+
+baselines = Strategies()
+
+
+@baselines.register("perplexity", "perplexity", cost=0.0005)
+def _by_perplexity(p: Column) -> Column:
+    return C.normalised_perplexity(p)
+
+
+@baselines.register("suspicion", "D_hat", "coh_star", "r", "perplexity", cost=0.0001)
+def _by_suspicion(d: Column, coh: Column, r: Column, p: Column) -> Column:
+    return C.suspicion(d, coh, r, p)
+
+
+@baselines.register("nonconformity", "D_hat", "coh_star", "r", cost=0.0001)
+def _by_nonconformity(d: Column, coh: Column, r: Column) -> Column:
+    return C.nonconformity(d, coh, r)
+
+
+@baselines.register("normality", "D_hat", "coh_star", "r", cost=0.0001)
+def _by_normality(d: Column, coh: Column, r: Column) -> Column:
+    return C.normality(d, coh, r)
+
+
+@baselines.register("risk", "D_hat", "coh_star", "r", "budget", cost=0.0002)
+def _by_risk(d: Column, coh: Column, r: Column, budget: Column) -> Column:
+    return _risk({"D_hat": d, "coh_star": coh, "r": r, "budget": budget})
+
+
+#: For each region a configuration: strategy, threshold, margin, whether low scores are good.
+_CONFIGURED = (("perplexity", 0.8, 0.1, True), ("suspicion", 0.5, 0.1, True), ("nonconformity", 0.3, 0.05, True), ("normality", 0.7, 0.1, False), ("risk", 0.3, 0.1, True))
+_BASE_SQL = {
+    "perplexity": "least(1.0, greatest(0.0, ln(perplexity) / ln(100)))",
+    "suspicion": f"0.25 * (1 - least(1.0, greatest(0.0, d_hat / 3.5))) + 0.25 * abs(coh_star - 0.7) + 0.25 * (1 - r) + 0.25 * least(1.0, greatest(0.0, ln(perplexity) / ln(100)))",
+    "nonconformity": "0.4 * (2.5 - d_hat) / 2.5 + 0.3 * (1 - coh_star) + 0.3 * (1 - r)",
+    "normality": "normality",
+    "risk": "risk",
+}
+_COSTS = {"perplexity": 0.0005, "risk": 0.0002}
+
+
+def _configured_sql(k: int) -> str:
+    name, t, margin, low = _CONFIGURED[k]
+    score = _BASE_SQL[name]
+    accept, escalate = (f"{score} <= {t}", f"{score} <= {t} * (1 + {margin})") if low else (f"{score} >= {t}", f"{score} >= {t} - {margin}")
+    return f"SELECT (SELECT r_name FROM region WHERE r_regionkey = {k}) AS config, '{name}' AS strategy, {score} AS score, CASE WHEN {accept} THEN 'ACCEPT' WHEN {escalate} THEN 'ESCALATE' ELSE 'REJECT' END AS decision, {_COSTS.get(name, 0.0001)}::DOUBLE AS cost FROM g"
+
+
+_PL = lambda x, lo, hi, over: f"CASE WHEN {x} < {lo} THEN greatest(0.0, {x} / {lo}) WHEN {x} <= {hi} THEN 1.0 ELSE greatest(0.0, 1 - ({x} - {hi}) / {over}) END"
+_TOTAL = "(d_hat + coh_star + r + budget)"
+_ENTROPY_SQL = " + ".join(f"CASE WHEN {v} > 0 THEN -({v} / {_TOTAL}) * ln({v} / {_TOTAL}) ELSE 0.0 END" for v in ("d_hat", "coh_star", "r", "budget"))
+
+
+@query(f"""WITH g AS (SELECT *, least(1.0, greatest(0.0, 0.35 * {_PL('d_hat', 1.5, 2.5, 0.5)} + 0.25 * {_PL('coh_star', 0.3, 0.6, 0.4)} + 0.40 * {_PL('r', 0.4, 0.7, 0.3)})) AS normality,
+    1.0 / (1.0 + exp(-(-0.5 + 0.3 * d_hat - 0.5 * coh_star - 0.4 * r - 0.6 * budget + 0.2 * ({_ENTROPY_SQL})))) AS risk FROM ({SIGNALS_SQL})), a AS ({' UNION ALL '.join(map(_configured_sql, range(5)))})
+  SELECT config, strategy, count(*) AS n, count(*) FILTER (WHERE decision = 'ACCEPT') AS accepted, count(*) FILTER (WHERE decision = 'ESCALATE') AS escalated, round(avg(score), 6) AS mean_score, round(sum(cost), 6) AS cost FROM a GROUP BY 1, 2""")
+def registered_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered baseline over all documents in one pass, as the regions' configurations deal them."""
+    rules = spark.createDataFrame([(k, *c) for k, c in enumerate(_CONFIGURED)], "k int, strategy string, threshold double, margin double, inverted boolean")
+    configured = table(spark, sf_dir, "region").join(rules, F.col("r_regionkey") == F.col("k")).select(F.col("r_name").alias("config"), "strategy", "threshold", "margin", "inverted")
+    out = baselines.run(signals(spark, sf_dir).select("D_hat", "coh_star", "r", "budget", "perplexity"), configured)
+    of = lambda d: F.count_if(F.col("decision") == d)
+    return out.groupBy("config", "strategy").agg(F.count(F.lit(1)).alias("n"), of("ACCEPT").alias("accepted"), of("ESCALATE").alias("escalated"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+#: Policies to be simulated: change of the threshold, and the margin below it.
+POLICIES = {"as is": (0.0, 0.1), "lenient": (-0.1, 0.1), "strict": (0.1, 0.1), "wide": (0.0, 0.2)}
+_POLICY_SQL = " UNION ALL ".join(f"SELECT '{n}' AS policy, method, truth, CASE WHEN score >= t + ({d}) THEN 'ACCEPT' WHEN score >= t + ({d}) - {m} THEN 'ESCALATE' ELSE 'REJECT' END AS decision FROM s" for n, (d, m) in POLICIES.items())
+
+
+@query(f"""WITH s AS (SELECT method, score, truth, CASE method {' '.join(f"WHEN '{m}' THEN {t}::DOUBLE" for m, t in THRESHOLDS.items())} END AS t FROM ({METHODS_SQL})), p AS ({_POLICY_SQL}),
+  g AS (SELECT policy, method, avg((decision = 'ESCALATE')::INT) AS escalation, 1 - avg((decision = 'ACCEPT' AND NOT truth)::INT) AS containment, avg(CASE WHEN decision = 'ESCALATE' THEN 0.005 ELSE 0.001 END)::DOUBLE AS cost FROM p GROUP BY 1, 2),
+  d AS (SELECT g.policy, g.method, round(g.escalation, 9) AS escalation, round(g.containment, 9) AS containment, round((g.containment - b.containment) / b.containment * 100, 6) AS containment_delta, round((g.cost - b.cost) / b.cost * 100, 6) AS cost_delta FROM g JOIN g b ON b.method = g.method AND b.policy = 'as is')
+  SELECT *, CASE WHEN containment < 0.98 THEN 'high' WHEN cost_delta > 10 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN containment < 0.98 OR cost_delta > 10 THEN 'reject' ELSE 'approve' END AS recommendation FROM d""")
+def policy_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past decisions replayed under other policies: escalation, containment and cost against the policy in force, the risk and what is advised."""
+    t = F.element_at(F.create_map(*(F.lit(x) for kv in THRESHOLDS.items() for x in kv)), F.col("method"))
+    under = F.array(*(F.struct(F.lit(n).alias("policy"), E.decide(F.col("score"), t + d, m).alias("decision")) for n, (d, m) in POLICIES.items()))
+    played = method_rows(spark, sf_dir).select("method", "truth", F.explode(under).alias("x")).select("method", "truth", "x.*")
+    yes, late = F.col("decision") == "ACCEPT", F.col("decision") == "ESCALATE"
+    cost = F.avg(F.when(late, 0.005).otherwise(0.001))
+    per = staged(played.groupBy("policy", "method").agg(F.avg(late.cast("int")).alias("e"), (1 - F.avg((yes & ~F.col("truth")).cast("int"))).alias("c"), cost.alias("k")), "policies")
+    base = per.filter("policy = 'as is'").select("method", F.col("c").alias("c0"), F.col("k").alias("k0"))
+    change = lambda a, b: F.round((F.col(a) - F.col(b)) / F.col(b) * 100, 6)
+    out = per.join(base, "method").select("policy", "method", F.round("e", 9).alias("escalation"), F.round("c", 9).alias("containment"), change("c", "c0").alias("containment_delta"), change("k", "k0").alias("cost_delta"))
+    breached = F.col("containment") < 0.98
+    return out.select("*", F.when(breached, "high").when(F.col("cost_delta") > 10, "medium").otherwise("low").alias("risk"), F.when(breached | (F.col("cost_delta") > 10), "reject").otherwise("approve").alias("recommendation"))

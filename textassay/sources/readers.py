@@ -49,7 +49,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def ground_truth(value) -> Column:
     """A label's truth: a word for yes, or a number over one half."""
     low = F.lower(F.trim(value))
-    return F.when(low.isin("true", "yes", "1", "correct", "supports"), True).when(low.isin("false", "no", "0", "incorrect", "refutes"), False).otherwise(F.coalesce(low.try_cast("double") > 0.5, F.lit(False)))
+    return F.when(low.isin("true", "yes", "1", "correct", "supports", "factual"), True).when(low.isin("false", "no", "0", "incorrect", "refutes", "hallucination"), False).otherwise(F.coalesce(low.try_cast("double") > 0.5, F.lit(False)))
+
+
+def all_benchmarks(spark: SparkSession, folder: str, limits: dict[str, int] | None = None) -> DataFrame:
+    """Every benchmark that is there, united, with at most so many rows of those that `limits` names. A folder without any is refused."""
+    known = {"truthfulqa.csv": truthful_qa, "fever.jsonl": fever, "halueval.json": lambda s, p: halu_eval(s, [p]), "hallulens.jsonl": hallu_lens}
+    found = [read(spark, f"{folder}/{name}") for name, read in known.items() if _exists(spark, f"{folder}/{name}")]
+    if not found:
+        raise ValueError(f"no benchmark in {folder}")
+    return capped(reduce(DataFrame.unionByName, found), limits or {})
+
+
+def point_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Points of timestamp, x, y, z with `row`, their canonical line: the time at nine decimals, the numbers as they are written."""
+    raw = spark.read.csv(path, header=True)
+    number = {c: F.col(c).try_cast("double").alias(c) for c in ("timestamp", "x", "y", "z")}
+    line = F.concat_ws(",", F.format_string("%.9f", number["timestamp"]), "x", "y", "z")
+    return raw.select(*number.values(), line.alias("row")).dropna(subset=["timestamp", "x", "y", "z"])
 
 
 def capped(samples: DataFrame, per_source: dict[str, int]) -> DataFrame:
@@ -105,6 +122,18 @@ def aws_cost_report(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("lineItem/ProductCode").alias("service"), F.col("lineItem/UnblendedCost").try_cast("double").alias("cost"), F.col("lineItem/UsageStartDate").try_cast("timestamp").alias("ts")).filter("cost IS NOT NULL")
 
 
+def gcp_billing(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a billing export in JSON lines."""
+    df = spark.read.schema("service struct<description: string>, sku struct<description: string>, cost double, usage_start_time string").json(path, mode="DROPMALFORMED")
+    return df.select(F.col("service.description").alias("service"), "cost", F.col("usage_start_time").try_cast("timestamp").alias("ts")).filter("cost IS NOT NULL")
+
+
+def azure_costs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a cost export in CSV."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.col("ServiceName").alias("service"), F.col("Cost").try_cast("double").alias("cost"), F.col("UsageDate").try_cast("timestamp").alias("ts")).filter("cost IS NOT NULL")
+
+
 def between_exclusive(rows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """Rows after start and before end, both excluded."""
     t = F.col(ts).cast("timestamp")
