@@ -113,8 +113,13 @@ def test_fingerprint_cases(spark):
     assert S.simhash(b"") == 0 and S.simhash(b" \t\n") == 0
     assert S.simhash(b"One TWO") == signed(xxh64_intdigest(b"one two", 42))
     assert S.simhash("É a".encode()) == signed(xxh64_intdigest("É a".encode(), 42))
-    long = b"w1 w2 w3 w4 " * 50_000
-    assert S.simhash(long) == S.simhash(b"w1 w2 w3 w4 " * 50_000)
+    rnd = __import__("random").Random(6)
+    texts = [rnd.choice(["", "É ", "\u00a0x\t"]) + " ".join(rnd.choices(["a", "B", "cé", "\x1c", "D\u3000e", "f\x0bg"], k=k)) for k in [*range(12), 70, 300]] + ["w1 w2 w3 w4 " * 30_000]
+    for t in texts:
+        words = __import__("re").findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+        assert S.simhash(t.encode()) == signed(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
 
 
 def test_near_classes_cases(spark):

@@ -75,6 +75,26 @@ def test_forward_backward_matches_enumeration():
     assert np.isclose(expected.sum(), (counts - 1).sum())
 
 
+def test_quality_scores():
+    """A document's score is the mean of its lines' marginals, each line weighing its bytes and its line feed."""
+    texts = [b"One good line of words.\nAnd another one\n!!! ### $$$\n\nmore words here", b"", b"alone", b"\n\n", "é ü\nword | word |".encode()]
+    x, _, counts = Q.line_features(texts)
+    rng = np.random.default_rng(5)
+    z = Q.with_neighbours(x, counts)
+    field = Q.LineField(rng.normal(size=z.shape[1]), rng.uniform(0.5, 2, z.shape[1]), rng.normal(size=z.shape[1]), rng.normal(size=(2, 2)))
+    at = 0
+    for text, score in zip(texts, field.scores(texts), strict=True):
+        lines = text.split(b"\n")
+        emit = []
+        for k in range(len(lines)):
+            near = [x[at + j] if 0 <= j < len(lines) else np.zeros(x.shape[1]) for j in (k, k - 1, k + 1)]
+            row = np.concatenate([*near, [k == 0, k == len(lines) - 1, 1]])
+            emit.append(sum((row - field.mean) / field.scale * field.weights))
+        marginals, weights = brute_marginals(np.array(emit), field.between), [len(x) + 1 for x in lines]
+        assert score == pytest.approx(sum(m * w for m, w in zip(marginals, weights)) / sum(weights), abs=1e-5)
+        at += len(lines)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = Q.op5_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
@@ -200,6 +220,50 @@ def test_fingerprint_order_cases(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def plain_chunks(data):
+    """Chunks byte by byte: a gear hash of the last 16 bytes; strict zeros before the normal size, loose ones after it."""
+    words, x, mask = [], 0, (1 << 64) - 1
+    for _ in range(256):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        words.append((z ^ (z >> 31)) >> 32)
+    out, start = [], 0
+    while start < len(data):
+        end = start
+        while True:
+            end += 1
+            size = end - start
+            if end == len(data) or size == K.LARGEST:
+                break
+            if size < K.WINDOW:
+                continue
+            h = 0
+            for b in data[max(0, end - 16) : end]:
+                h = ((h << 1) + words[b]) & 0xFFFFFFFF
+            if h >> 25 == 0 if size < K.NORMAL else h >> 29 == 0:
+                break
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def test_chunks_byte_by_byte():
+    from xxhash import xxh64_intdigest
+
+    rnd = random.Random(8)
+    texts = [bytes(rnd.choices(b"abcdefgh \n", k=n)) for n in (0, 1, 15, 16, 17, 31, 32, 33, 254, 255, 256, 3000)] + ["é漢".encode() * 700, b"a" * 2000, bytes(range(256)) * 6]
+    for text, found in zip(texts, K.chunk_all(texts), strict=True):
+        want = plain_chunks(text)
+        assert [b - a for a, b in zip([0, *found.ends], found.ends)] == list(map(len, want))
+        assert found.fingerprint() == "".join(sorted({f"{xxh64_intdigest(c) >> 16:012x}{len(c):02x}" for c in want}))
+
+
+def test_fingerprints_need_numbers(spark):
+    with pytest.raises(TypeError):
+        K.fingerprint_with_next(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_chunks_cover_and_shift():
     rnd = random.Random(4)
     data = bytes(rnd.randrange(97, 123) for _ in range(20_000))

@@ -11,7 +11,7 @@ The edited text of a document needs its successor by id. Documents are dealt int
 each range also gets the first document of the next, and one sorted pass over a range sees every document beside its
 successor; no task holds more than a range and no global sort runs in one task.
 
-Defined results: a null text is an empty text; an empty fingerprint is contained only in an empty one (1.0 then, else
+Defined results: ids must be whole numbers, others are refused; a null text is an empty text; an empty fingerprint is contained only in an empty one (1.0 then, else
 0.0); null ids come before all others; rows repeating an id follow each other by text; a sole row is its own
 successor; an empty table gives an empty result; extra columns are ignored.
 """
@@ -161,6 +161,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     parts = ranges or 4 * shuffle_width(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}: documents follow each other by whole numbers")
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
