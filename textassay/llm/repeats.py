@@ -152,10 +152,29 @@ class Block:
         self.lens = unpack(row["lens"], np.uint64).astype(np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
         self.keys = np.array(row["keys"], np.int64)
+
+    def find_ranges(self) -> Block:
+        """Name all windows, cut them into ranges and sort these into classes."""
         parts = list(self._slices())
         gathered = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((U, U, np.int64, np.int64, bool))]
         self.sample, self.context, self.first, self.count, self.twice = gathered
         self._classes()
+        return self
+
+    def ranges(self, buckets: int) -> dict:
+        """What later stages need of the ranges, packed: about eight bytes a range."""
+        asks = self.sample[self.head[self.asked]]
+        return {
+            "first": pack(np.diff(self.first, prepend=0)), "count": pack(self.count.astype(np.uint32)), "at": pack(self.at.astype(np.uint32)), "head": pack(self.head.astype(np.uint32)),
+            "asked": pack(self.asked.astype(np.uint32)), "crowded": pack(self.crowded.astype(np.uint8)), "to": pack((asks % U(buckets)).astype(np.uint32)),
+        }
+
+    def take_ranges(self, row: dict) -> Block:
+        """The ranges as `ranges` packed them."""
+        number = lambda name: unpack(row[name], np.uint32).astype(np.int64)
+        self.first, self.count, self.at, self.head, self.asked = np.cumsum(unpack(row["first"], np.int64)), number("count"), number("at"), number("head"), number("asked")
+        self.crowded, self.to = unpack(row["crowded"], np.uint8).astype(bool), number("to").astype(U)
+        return self
 
     def _pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Runs of whole texts of about a slice, and slices of longer texts: start in the block, and starts and lengths from there."""
@@ -290,6 +309,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 ASK = "bucket int, block bigint, n bigint, data array<binary>"
+#: What is kept of a block's ranges.
+RANGES = ("first", "count", "at", "head", "asked", "crowded", "to")
+ASKS = pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.list_(pa.binary()))]))
 ANSWER = "bucket int, block bigint, bits binary"
 
 
@@ -367,24 +389,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = blocks.agg(F.sum("size")).head()[0] or 0
     buckets = max(1, -(-int(size) // (32 * ENTRIES)))
 
-    def ask_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield from _send(row, *Block(row, span, slice_bytes).ask_ranges(), buckets)
-
-    asked = blocks.select("block", "size", "lens", "text", "keys").mapInArrow(ask_ranges, ASK)
+            block = Block(row, span, slice_bytes).find_ranges()
+            sent = [{n: batch.column(n)[0].as_py() for n in ("bucket", "n", "data")} for batch in _send(row, *block.ask_ranges(), buckets)]
+            packed = block.ranges(buckets)
+            columns = [pa.array([row["block"]], pa.int64()), *(pa.array([packed[n]], pa.binary()) for n in RANGES), pa.array([sent], ASKS)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", *RANGES, "asks"])
+
+    found_ranges = f"block bigint, {', '.join(f'{n} binary' for n in RANGES)}, asks array<struct<bucket: int, n: bigint, data: array<binary>>>"
+    cut = stage(blocks.select("block", "size", "lens", "text", "keys").mapInArrow(find, found_ranges), "repeat-cut")
+    asked = cut.select("block", F.explode("asks").alias("a")).select("a.bucket", "block", "a.n", "a.data")
     ranges = stage(asked.repartition(width, "bucket").groupBy("bucket").applyInPandas(_decide_ranges, ANSWER), "repeat-ranges")
-    known = blocks.join(_by_block(ranges, "r"), "block", "left")
+    known = blocks.join(cut.drop("asks"), "block").join(_by_block(ranges, "r"), "block", "left")
 
     def heard(row: dict) -> Block:
-        block = Block(row, span, slice_bytes)
-        block.hear_ranges(_heard(row["r"], block.sample[block.head[block.asked]], buckets))
+        block = Block(row, span, slice_bytes).take_ranges(row)
+        block.hear_ranges(_heard(row["r"], block.to, buckets))
         return block
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             yield from _send(row, *heard(row).ask_windows(), buckets)
 
-    asked = known.select("block", "size", "lens", "text", "keys", "r").mapInArrow(ask_windows, ASK)
+    asked = known.select("block", "size", "lens", "text", "keys", *RANGES, "r").mapInArrow(ask_windows, ASK)
     windows = stage(asked.repartition(width, "bucket").groupBy("bucket").applyInPandas(_decide_windows, ANSWER), "repeat-windows")
     known = known.join(_by_block(windows, "w"), "block", "left")
 
@@ -408,9 +436,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 4096]), types)], names)
 
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    found = stage(known.select("block", "size", "lens", "text", "keys", "ids", "r", "w").mapInArrow(finish, schema), "repeat-found")
+    found = stage(known.select("block", "size", "lens", "text", "keys", "ids", *RANGES, "r", "w").mapInArrow(finish, schema), "repeat-found")
     spark.sql(f"DROP TABLE {name}")
-    unstage(ranges, windows)
+    unstage(cut, ranges, windows)
     return found.withColumnRenamed("id", id_col)
 
 
