@@ -119,3 +119,32 @@ def test_signals(spark):
 def test_overlap_is_bounded_and_symmetric(spark, a, b):
     x, y = value(spark, T.overlap(F.lit(a), F.lit(b))), value(spark, T.overlap(F.lit(b), F.lit(a)))
     assert 0 <= x <= 1 and x == y and value(spark, T.overlap(F.lit(a), F.lit(a))) == 1
+
+
+def test_vector_signals_by_hand():
+    """Coherence by histograms, codes by plain loops, PCA by eigenvalues of the covariance."""
+    import zlib
+
+    import numpy as np
+
+    from textassay.functions import signals as S
+
+    x = np.random.default_rng(7).normal(size=(60, 16)) * np.linspace(0.2, 3, 16)
+    best = 0
+    for v in np.random.default_rng(0).standard_normal((100, 16)):
+        p = x @ (v / np.sqrt((v * v).sum()))
+        best = max(best, np.histogram(p, bins=20)[0].max())
+    assert S.coherence(x)[0] == round(best / 60, 9)
+    codes = np.zeros((60, 8), np.uint8)
+    for j in range(8):
+        part = x[:, 2 * j : 2 * j + 2]
+        centres = [part[int(k)] for k in np.linspace(0, 59, 16)]
+        for _ in range(10):
+            near = [min(range(16), key=lambda c: ((p - centres[c]) ** 2).sum()) for p in part]
+            centres = [np.mean([p for p, n in zip(part, near) if n == c], axis=0) if c in near else centres[c] for c in range(16)]
+        codes[:, j] = [min(range(16), key=lambda c: ((p - centres[c]) ** 2).sum()) for p in part]
+    raw = codes.tobytes()
+    assert S.quantised_ratio(x) == round(min(1.0, len(zlib.compress(raw, 6)) / len(raw)), 9)
+    e = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert S.pca_dimension(x) == next(k for k in range(1, 17) if e[:k].sum() / e.sum() >= 0.95)
+    assert S.pca_dimension(np.ones((5, 3))) == 1 and S.coherence(np.ones((5, 3)))[0] == 1.0 and S.quantised_ratio(np.zeros((0, 16))) == 1.0

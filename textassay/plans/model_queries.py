@@ -243,15 +243,15 @@ def stump_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql(f""", k AS (SELECT method, (doc_id % 30)::INT AS day, score, truth FROM m), w AS (SELECT method, d.day AS day, score, truth FROM k JOIN (SELECT unnest(range(6, 30))::INT AS day) d ON k.day BETWEEN d.day - 6 AND d.day),
   a AS ({_AUC_SQL.format('method, day').replace('FROM m', 'FROM w')}), b AS ({_AUC_SQL.format('method').replace('FROM m', 'FROM m').replace('AS auc', 'AS base')})
-  SELECT a.method, day, a.rows, round(auc, 6) AS auc, a.rows >= 30 AND round(base, 6) - round(auc, 6) > {MAX_DROP} AS drifted FROM a JOIN b ON a.method = b.method WHERE a.rows > 0""").replace(") , k AS", "), k AS"))
+  SELECT a.method, day, a.rows, round(coalesce(auc, 0), 6) AS auc, a.rows >= 30 AND auc IS NOT NULL AND round(base, 6) - round(auc, 6) > {MAX_DROP} AS drifted FROM a JOIN b ON a.method = b.method WHERE a.rows > 0""").replace(") , k AS", "), k AS"))
 def week_auc_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROC area over each seven days (documents' days are their ids modulo 30) against that over all: a fall beyond the bound, on enough rows, is drift."""
     rows = staged(method_rows(spark, sf_dir).select("method", (F.col("doc_id") % 30).cast("int").alias("of"), "score", "truth"), "scores")
     seven = rows.withColumn("day", F.explode(F.sequence(F.greatest("of", F.lit(6)), F.least(F.col("of") + 6, F.lit(29))))).filter("day - of BETWEEN 0 AND 6")
-    sizes = seven.groupBy("method", "day").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = seven.groupBy("method", "day").agg(F.count(F.lit(1)).alias("rows"), (F.max("truth") != F.min("truth")).alias("both"))
     base = E.areas(rows, "method").select("method", F.col("auroc").alias("base"))
     both = E.areas(seven, "method", "day").select("method", "day", F.col("auroc").alias("auc")).join(sizes, ["method", "day"]).join(base, "method")
-    return both.select("method", "day", "rows", "auc", ((F.col("rows") >= 30) & (F.col("base") - F.col("auc") > MAX_DROP)).alias("drifted"))
+    return both.select("method", "day", "rows", "auc", ((F.col("rows") >= 30) & F.col("both") & (F.col("base") - F.col("auc") > MAX_DROP)).alias("drifted"))
 
 
 @query(_sql("""SELECT source, method, accepted, escalated, rejected, round((accepted * 0.01 + escalated * 0.25 + rejected * 0.02)::DOUBLE, 6) AS cost, round((accepted * 0.01 + escalated * 0.25 + rejected * 0.02)::DOUBLE * 30, 6) AS monthly

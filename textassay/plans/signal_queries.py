@@ -39,7 +39,7 @@ def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def signed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed digest of each part's canonical record, and its check."""
-    key = b"test-key"
+    key = spark.conf.get("spark.textassay.signingKey", "test-key").encode()  # set your own
     record = A.canonical_json({"name": A.json_text(F.col("p_name")), "price": A.json_number(F.col("p_retailprice"))})
     signed = table(spark, sf_dir, "part").select("p_partkey", record.alias("record")).withColumn("signature", S.hmac_sign(F.col("record"), key))
     return signed.select("p_partkey", "signature", S.hmac_verify(F.col("record"), key, F.col("signature")).alias("valid"))
