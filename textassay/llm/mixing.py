@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Documents fall into cells by source, language and topic (`topics.py`, from the text); a cell's weight is its tokens. A
+Documents fall into cells by source, language and topic (`topics.py`, fitted on all texts); a cell's weight is its tokens. A
 sweep scales the cells of each margin in turn so that the margin's weights meet their targets, until all margins
 agree within the tolerance or the sweeps run out; `margins_met` says which (a table with empty cells may not be able to
 reach every target; the last margin is then met exactly). A cell's factor over the corpus is its calibrated weight by
@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import documents, small_side, stage, whole_row
-from .topics import Topics, fit_topics
+from .common import documents, small_side, stage, unstage, whole_row
+from .topics import Topics, fit_topics, fit_vocabulary, with_numbers
 
 MARGINS = ("source", "lang", "topic")
 Targets = dict[str, dict[str, float]]
@@ -49,21 +50,28 @@ def _cell_columns(source_col: str, lang_col: str) -> list[Column]:
     return [F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")]
 
 
-def with_topic(rows: DataFrame, topics: Topics) -> DataFrame:
-    """rows with topic and n_tokens in place of their last column, the text's UTF-8 bytes."""
-    keep = rows.schema.fields[:-1]
+def with_topic(numbered: DataFrame, topics: Topics) -> DataFrame:
+    """numbered with topic in place of its last column, the numbers of the text's words."""
+    keep = numbered.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
-            for x in batch.column(len(keep)):
-                words = x.as_buffer().to_pybytes().lower().split()
-                found.append(topics.of(words))
-                sizes.append(max(1, len(words)))
-            columns = [batch.column(i) for i in range(len(keep))] + [pa.array(found, pa.string()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in keep] + ["topic", "n_tokens"])
+            columns = [*(batch.column(i) for i in range(len(keep))), pa.array(topics.of(batch.column(len(keep)).to_pylist()), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in keep] + ["topic"])
 
-    return rows.mapInArrow(run, StructType([*keep, StructField("topic", StringType()), StructField("n_tokens", LongType())]))
+    return numbered.mapInArrow(run, StructType([*keep, StructField("topic", StringType())]))
+
+
+def _row_topics(rows: DataFrame, text_at: int, topics: Topics) -> DataFrame:
+    """rows with topic as a last column; their first column is a struct whose field at text_at is the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column(0), [text_at]), "")
+            found = topics.of([topics.vocabulary.numbers(x.as_buffer().to_pybytes().lower().split()) for x in texts])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "topic"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("topic", StringType())]))
 
 
 def rake(cells: pd.DataFrame, targets: Targets | None = None, temper: float = 0.5, sweeps: int = 1000, tolerance: float = 1e-6) -> tuple[np.ndarray, bool]:
@@ -128,6 +136,13 @@ def calibrated_cells(keyed: DataFrame, share: float, targets: Targets | None = N
     return stage(cells.coalesce(1).mapInPandas(run, CALIBRATED), "mix-calibrated")
 
 
+def _numbered(rows: DataFrame, topics: Topics | None) -> tuple[DataFrame, Topics]:
+    """rows, staged, with n_tokens and the words' numbers in place of their last column, the text; topics, fitted on all rows if not given."""
+    vocabulary = topics.vocabulary if topics else fit_vocabulary(rows.select("text"))
+    numbered = stage(with_numbers(rows, vocabulary), "mix-numbers")
+    return numbered, topics or fit_topics(numbered, vocabulary)
+
+
 def _drawn(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), 11) / F.lit(float(1 << 53))
 
@@ -137,9 +152,10 @@ def mixture(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics: Topics | None = None,
 ) -> DataFrame:
     """Every row's id, cell, n_tokens, factor, probability, margins_met, whether it is sampled, and its weight if it is."""
-    topics = topics or fit_topics(docs, id_col, _utf8(text_col))
     rows = docs.select(F.col(id_col).alias("__id"), *_cell_columns(source_col, lang_col), _drawn(id_col, text_col, seed).alias("u"), _utf8(text_col).alias("text"))
-    keyed = stage(with_topic(rows, topics), "mix-keys")
+    numbered, topics = _numbered(rows, topics)
+    keyed = stage(with_topic(numbered, topics), "mix-keys")
+    unstage(numbered)
     cells = calibrated_cells(keyed, share, targets, temper)
     found = keyed.join(small_side(cells, 256), list(MARGINS), "left")
     sampled = F.col("u") < F.col("probability")
@@ -153,10 +169,14 @@ def sample_mixture(
     docs: DataFrame, share: float = 0.6, targets: Targets | None = None, temper: float = 0.5, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics: Topics | None = None,
 ) -> DataFrame:
-    """The sampled rows of docs, with docs' columns. Reads the texts twice, for the cells and for the rows, and stages neither."""
-    topics = topics or fit_topics(docs, id_col, _utf8(text_col))
-    cells = calibrated_cells(with_topic(docs.select(*_cell_columns(source_col, lang_col), _utf8(text_col).alias("text")), topics), share, targets, temper)
-    rows = with_topic(docs.select(whole_row(docs), *_cell_columns(source_col, lang_col), _drawn(id_col, text_col, seed).alias("u"), _utf8(text_col).alias("text")), topics)
+    """The sampled rows of docs, with docs' columns. Reads the texts for the vocabulary, the cells and the rows, and stages none."""
+    cell = _cell_columns(source_col, lang_col)
+    numbered, topics = _numbered(docs.select(*cell, _utf8(text_col).alias("text")), topics)
+    cells = calibrated_cells(with_topic(numbered, topics), share, targets, temper)
+    unstage(numbered)
+    most = cells.agg(F.max("probability")).head()[0] or 0.0  # rows drawn above it are in no sample, whatever their topic
+    drawn = docs.select(whole_row(docs), *cell, _drawn(id_col, text_col, seed).alias("u")).filter(F.col("u") < most)
+    rows = _row_topics(drawn, docs.columns.index(text_col), topics)
     return rows.join(small_side(cells, 256), list(MARGINS)).filter("u < probability").select("row.*")
 
 
