@@ -1,4 +1,9 @@
-"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, exact by a prefix filter.
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least 0.8: SimHash, then an exact prefix filter.
+
+The fingerprints of the shingles go through operator 2's index (`simhash.links`: positional bytes, tally, bits), and what it
+brings together within two bits is verified by the whole sets. Two sets of similarity 0.8 may differ in many more bits, and
+no radius is sure to hold them all, so the pairs further apart come from the filter; pairs that the index has
+settled are not asked for again.
 
 The shingles of every set are put in one common order, those often met in a sample of documents last and the others by
 hash. Two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1 shingles, so each set is posted under
@@ -21,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,8 @@ from xxhash import xxh64_intdigest
 
 from .common import release, small_side, stage, unstage
 from .components import connected_components
+from .simhash import SEED, links, print_of, shingle_hashes
 
-SEED = 42
 #: The similarity, 4 / 5.
 NUM, DEN = 4, 5
 SAMPLE = 4000
@@ -42,14 +46,13 @@ ROUND = 32
 PARITIES = 4  # a shingle, at least
 
 
+def _set_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.astype(np.uint64).view(np.int64))
+
+
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     """The different shingles of a UTF-8 text as sorted signed 64-bit hashes."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    n = max(1, len(words) - size + 1)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64, n).view(np.int64))
+    return _set_of(shingle_hashes(text, size))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -85,15 +88,33 @@ def _places(x: bytes, y: bytes) -> int:
 
 
 def _nodes(texts: DataFrame, size: int) -> DataFrame:
-    """(id, node, n, sig) of every row."""
+    """(id, node, n, sig, fp) of every row."""
+
+    def told(text: bytes) -> tuple[int, int, bytes, int]:
+        hashes = shingle_hashes(text, size)
+        s = _set_of(hashes)
+        return node_of(s), len(s), signature(s), print_of(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingle_set(x.as_buffer().to_pybytes(), size) for x in batch.column(1))
-            nodes, sizes, sigs = zip(*((node_of(s), len(s), signature(s)) for s in sets)) if batch.num_rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["id", "node", "n", "sig"])
-
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n int, sig binary")
+            nodes, sizes, sigs, prints = zip(*(told(x.as_buffer().to_pybytes()) for x in batch.column(1))) if batch.num_rows else ([], [], [], [])
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "sig", "fp"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n int, sig binary, fp bigint")
+
+
+def _printed(prints: DataFrame, dense: int) -> DataFrame:
+    """(a, b), a < b: what the index of fingerprints links, each fingerprint standing for its smallest set, and the sets of
+    one fingerprint to that one."""
+    heads = stage(prints.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c")), "near-heads")
+    close = links(heads.select("fp"), dense)
+    side = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}"))
+    apart = close.join(side("a"), "a").join(side("b"), "b").select(F.col("head_a").alias("x"), F.col("head_b").alias("y"))
+    same = prints.join(heads.filter("c > 1"), "fp").filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    out = stage(apart.unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near-printed")
+    unstage(heads, close)
+    return out
 
 
 def _candidates(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -232,10 +253,14 @@ def _verified(edges: DataFrame, texts: DataFrame, prints: DataFrame, size: int)
 def similar_links(texts: DataFrame, prints: DataFrame, size: int = 5, dense: int = 64) -> DataFrame:
     """Links (a, b) of set names whose components are those of all pairs of similarity 0.8.
 
-    texts: (id, text), one row or more of each different set; prints: (node, least, n, sig), the id of one of a set's rows,
-    its size and its signature.
+    texts: (id, text), one row or more of each different set; prints: (node, least, n, sig, fp), the id of one of a set's rows,
+    its size, its signature and a fingerprint.
     """
     spark = texts.sparkSession
+    printed = _printed(prints, dense)
+    close = stage(_candidates(printed, prints), "near-close")
+    found = [_verified(close, texts, prints, size)]
+    unstage(printed, close)
     postings = stage(_postings(texts, size, _often(texts, size)), "near-postings")
     lists = stage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-lists")
     few, many = lists.filter(F.col("m") <= dense).select("key"), lists.filter(F.col("m") > dense)
@@ -254,12 +279,12 @@ def similar_links(texts: DataFrame, prints: DataFrame, size: int = 5, dense: int
         crowd = stage(told.join(prints.select("node", "n", "sig"), "node").select("key", "lo", "hi", "node", F.lit(None).cast("bigint").alias("b"), "n", "sig"), "near-crowd")
     unstage(postings, met, lists, pairs)
     release(spark)
-    asked, found, settled, open_ = edges, [], None, crowd
+    asked, settled, open_ = edges, None, crowd
     while True:
         forest = None
         if open_ is not None:
             forest = stage(open_.groupBy("key", "lo", "hi").applyInArrow(_forest, FOREST), "near-forest")
-            asked = forest.select("a", "b") if found else edges.unionAll(forest.select("a", "b"))
+            asked = forest.select("a", "b") if len(found) > 1 else edges.unionAll(forest.select("a", "b"))
         asked = asked.distinct()
         for done in found:
             asked = asked.join(done, ["a", "b"], "left_anti")
@@ -275,17 +300,17 @@ def similar_links(texts: DataFrame, prints: DataFrame, size: int = 5, dense: int
         settled = told if settled is None else settled.unionAll(told)
         known = settled.select("key", "lo", "hi", F.col("a").alias("node"), "b", F.col("ok").cast("int").alias("n"), F.lit(None).cast("binary").alias("sig"))
         open_ = crowd.unionAll(known).join(small_side(groups, 64), ["key", "lo", "hi"], "left_semi")
-    links = stage(reduce(DataFrame.unionAll, found).filter("ok").select("a", "b").distinct(), "near-links")
+    out = stage(reduce(DataFrame.unionAll, found).filter("ok").select("a", "b").distinct(), "near-links")
     unstage(edges, *found, *([] if crowd is None else [crowd]))
     release(spark)
-    return links
+    return out
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, dense: int = 64) -> DataFrame:
     """One row per input row with an id: id and component_id, the smallest id reachable through links."""
     texts = _texts(docs, id_col, text_col)
     each = stage(_nodes(texts, size), "near-nodes")
-    different = stage(each.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-different")
+    different = stage(each.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("fp").alias("fp")), "near-different")
     one, copies = texts, different.filter("c > 1")
     if not copies.isEmpty():  # one row of each different set will do; ids that stand for another set keep their rows
         gone = each.join(small_side(copies.select("node", "least"), 64), "node").filter(F.col("id") != F.col("least")).select("id").distinct()
@@ -293,10 +318,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = texts.join(small_side(gone, 64), "id", "left_anti")
         if each.select("id").distinct().count() < each.count():
             one = one.dropDuplicates(["id", "text"])
-    links = similar_links(one, different.select("node", "least", "n", "sig"), size, dense)
-    roots = connected_components(links)
+    similar_pairs = similar_links(one, different.select("node", "least", "n", "sig", "fp"), size, dense)
+    roots = connected_components(similar_pairs)
     joined = stage(different.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-joined")
     least = stage(joined.groupBy("root").agg(F.min("least").alias("component_id")), "near-least")
     classes = stage(joined.join(least, "root").select("node", "component_id"), "near-classes")
-    unstage(roots, links, joined, least, different)
+    unstage(roots, similar_pairs, joined, least, different)
     return each.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "component_id")

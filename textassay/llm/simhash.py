@@ -30,21 +30,26 @@ from xxhash import xxh64_intdigest
 
 from .common import documents, small_side, stage, unstage
 from .components import connected_components
-from .near_copies import similar_classes
 
 SEED = 42
 MOST_BITS = 2
 LEAST_BYTES = 8 - MOST_BITS
 
 
-def simhash(text: bytes, size: int = 3) -> int:
-    """The fingerprint of a UTF-8 text as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=">u8")
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    n = max(1, len(words) - size + 1)
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype=">u8", count=n)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype=">u8", count=max(1, len(words) - size + 1))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles as a signed 64-bit integer."""
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for lo in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8)).reshape(-1, 64)
@@ -55,6 +60,11 @@ def simhash(text: bytes, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > n).view(">i8")[0])
 
 
+def simhash(text: bytes, size: int = 3) -> int:
+    """The fingerprint of a UTF-8 text as a signed 64-bit integer."""
+    return print_of(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp) of every row."""
 
@@ -139,7 +149,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, dense: int = 64) -> DataFrame:
-    """docs with one document of each group linked by a shingle similarity of 0.8, the one with the smallest id (rows repeating that id once)."""
+    """docs with one document of each group linked by a shingle similarity of 0.8, the one with the smallest id (rows repeating
+    that id once). Links come from the fingerprints' index first and from an exact filter for what is further apart."""
+    from .near_copies import similar_classes  # which uses the index above
+
     classes = stage(similar_classes(docs.select(id_col, text_col), id_col, text_col, size, dense), "simhash-groups")
     gone = stage(classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone_id")).distinct(), "simhash-gone")
     kept = docs.join(small_side(gone, 32), docs[id_col] == F.col("__gone_id"), "left_anti")
