@@ -55,7 +55,7 @@ def merkle_tree(rows: DataFrame, leaf: str, order: list[str], *by: str) -> DataF
         blocks = at.filter(n > 1).groupBy(*by, F.shiftright("index", LEVELS).alias("__b")).agg(F.array_sort(F.collect_list(F.struct("index", "hash"))).alias("x"), F.max("leaves").alias("leaves"))
         climbed = blocks.select(*by, "__b", "leaves", F.posexplode(_climb(F.transform("x", lambda x: x["hash"]), n)).alias("l", "nodes")).select(*by, "__b", "leaves", "l", F.posexplode("nodes").alias("p", "hash"))
         index = F.expr(f"shiftleft(__b, {LEVELS - 1} - l) + p")
-        made = staged(climbed.select(*by, (F.col("l") + low + 1).alias("level"), index.alias("index"), "hash", "leaves"), "merkle")
+        made = staged(climbed.select(*by, (F.col("l") + low + 1).alias("level"), index.alias("index"), F.unhex("hash").alias("hash"), "leaves"), "merkle").withColumn("hash", F.lower(F.hex("hash")))
         levels.append(made)
         low, most = low + LEVELS, (most + (1 << LEVELS) - 1) >> LEVELS
         at = made.filter(F.col("level") == low)
@@ -70,20 +70,37 @@ def merkle_roots_of(tree: DataFrame, *by: str) -> DataFrame:
 
 
 def merkle_proofs(tree: DataFrame, *by: str, of: Column | None = None) -> DataFrame:
-    """(by, index, hash, leaves, proof) of the leaves (those that `of` selects): the hashes to be joined on the way up. Siblings
-    are looked up by a join, so a proof costs its own height whatever the tree's size."""
-    leaves = tree.filter("level = 0") if of is None else tree.filter("level = 0").filter(of)
-    height = F.when(F.col("leaves") > 1, F.ceil(F.log2(F.col("leaves").cast("double"))).cast("int")).otherwise(0)
-    steps = leaves.select(*by, "index", "hash", "leaves", F.explode_outer(F.when(height > 0, F.sequence(F.lit(0), height - 1))).alias("level"))
-    sibling = F.expr("least(shiftright(index, level) ^ 1L, CAST(ceil(leaves / power(2.0D, level)) AS BIGINT) - 1)")
-    asked = steps.withColumn("__s", sibling)
-    nodes = tree.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("level").alias("__level"), F.col("index").alias("__index"), F.col("hash").alias("__hash"))
-    same = (F.col("level") == F.col("__level")) & (F.col("__s") == F.col("__index"))
-    for k, b in enumerate(by):
-        same &= F.col(b).eqNullSafe(F.col(f"__by{k}"))
-    joined = asked.join(nodes, same, "left")
-    path = F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "__hash"))))  # one for each level
-    return joined.groupBy(*by, "index", "hash", "leaves").agg(path.alias("p")).select(*by, "index", "hash", "leaves", F.transform("p", lambda x: x["__hash"]).alias("proof"))
+    """(by, index, hash, leaves, proof, root) of the leaves (those that `of` selects): the hashes to be joined on the way up, and
+    where it ends. Siblings lie in a leaf's own block of 2^LEVELS nodes up to the block's top, and from there on the proof is
+    the top's own: a leaf moves once, whatever its tree's size, and a proof not at all."""
+    top = tree.agg(F.max("level")).head()[0] or 0
+    above = None
+    for low in reversed(range(0, top + 1, LEVELS)):
+        at = tree.filter(F.col("level") == low)
+        blocks = at.groupBy(*by, F.shiftright("index", LEVELS).alias("__b")).agg(F.array_sort(F.collect_list(F.struct("index", "hash"))).alias("x"), F.max("leaves").alias("leaves"))
+        own, known = F.transform("x", lambda x: x["hash"]), (F.array().cast("array<string>"), F.lit(None).cast("string"))
+        if above is not None:
+            same = F.col("__b") == F.col("__top")
+            for k, b in enumerate(by):
+                same &= F.col(b).eqNullSafe(F.col(f"__by{k}"))
+            blocks = blocks.join(above.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("index").alias("__top"), F.col("proof").alias("__proof"), F.col("root").alias("__root")), same, "left")
+            known = F.coalesce("__proof", known[0]), F.col("__root")
+        made = blocks.select(*by, "__b", "leaves", own.alias("x"), _climb(own, F.ceil(F.col("leaves") / float(1 << low))).alias("up"), known[0].alias("__proof"), known[1].alias("__root"))
+        made = made.select(*by, "__b", "leaves", "x", F.concat(F.array("x"), F.filter("up", lambda u: F.size(u) > 0)).alias("levels"), "__proof", "__root")
+        joined = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.ceil(F.col("leaves") / F.pow(F.lit(2.0), (k + low).cast("double"))) > 1)  # levels that are not yet the root
+
+        def path(p: Column) -> Column:
+            beside = lambda k: F.call_function("shiftright", p, k).bitwiseXOR(F.lit(1))
+            level = lambda k: F.element_at("levels", k + 1)
+            return F.concat(F.transform("__joined", lambda k: F.element_at(level(k), F.least(beside(k), F.size(level(k)) - 1) + 1)), F.col("__proof"))
+
+        root = F.coalesce("__root", F.element_at(F.element_at("levels", -1), 1)).alias("root")
+        paths = F.transform("x", lambda h, p: F.struct(h.alias("hash"), path(p).alias("proof")))
+        made = made.withColumn("__joined", joined).select(*by, "__b", "leaves", root, F.posexplode(paths).alias("__p", "__x"))
+        above = made.select(*by, F.lit(low).alias("level"), F.expr(f"shiftleft(__b, {LEVELS}) + __p").alias("index"), F.col("__x.hash").alias("hash"), "leaves", F.col("__x.proof").alias("proof"), "root")
+        if low:
+            above = staged(above, "merkle-proofs")  # a thousandth of the leaves
+    return (above if of is None else above.filter(of)).drop("level")
 
 
 def proved_root(leaf: Column, index: Column, proof: Column) -> Column:
