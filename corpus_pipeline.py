@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textassay.llm.common import documents, stage
+from textassay.llm.common import documents, is_staged, stage
 from textassay.llm.exact_dedup import drop_exact_copies
 from textassay.llm.mixing import sample_mixture
 from textassay.llm.packing import pack_documents
@@ -13,8 +13,8 @@ from textassay.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-field classifier, fitted on `labels`, calls good."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the line-field classifier, fitted on `labels`, calls good; staged, as whole rows pass through Python."""
+    return stage(keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "pipeline-quality")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to tempered source, language and topic margins."""
-    return sample_mixture(docs)
+    """Documents sampled to tempered source, language and topic margins; staged, as whole rows pass through Python."""
+    return stage(sample_mixture(docs), "pipeline-mixing")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = function(spark, docs, sf_dir)
+        docs = docs if is_staged(docs) else stage(docs, f"pipeline-{name}")
     return docs

@@ -21,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -220,13 +221,15 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_line
     return LineField.fit(with_neighbours(x, counts), counts, np.array([r["label"] for r in rows]))
 
 
-def score_quality(rows: DataFrame, field: LineField | None, schema: StructType | str, text_at: int, block_bytes: int = 4 << 20) -> DataFrame:
-    """rows with a last column `score`; the column at text_at holds UTF-8 bytes and is left out of the result."""
+def score_quality(rows: DataFrame, field: LineField | None, schema: StructType | str, text_at: int, block_bytes: int = 4 << 20, within: int | None = None) -> DataFrame:
+    """rows with a last column `score`; the column at text_at holds UTF-8 bytes and is left out of the result, or it is a
+    struct that stays and has the text as its field `within`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [field.scores(b) for b in _blocks(batch.column(text_at), block_bytes)] if field else [np.full(batch.num_rows, 0.5)]
-            rest = [i for i in range(batch.num_columns) if i != text_at]
+            texts = batch.column(text_at) if within is None else pc.fill_null(pc.struct_field(batch.column(text_at), [within]), "")
+            scores = [field.scores(b) for b in _blocks(texts, block_bytes)] if field else [np.full(batch.num_rows, 0.5)]
+            rest = [i for i in range(batch.num_columns) if i != text_at or within is not None]
             columns = [batch.column(i) for i in rest] + [pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in rest] + ["score"])
 
@@ -243,8 +246,8 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, he
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score threshold or more, with docs' columns."""
     field = _training(docs, labels, id_col, text_col, None)
-    rows = docs.select(whole_row(docs), _utf8(text_col).alias("text"))
-    scored = score_quality(rows, field, StructType([rows.schema["row"], *StructType.fromDDL("score double")]), 1)
+    rows = docs.select(whole_row(docs))
+    scored = score_quality(rows, field, StructType([rows.schema["row"], *StructType.fromDDL("score double")]), 0, within=docs.columns.index(text_col))
     return scored.filter(F.col("score") >= threshold).select("row.*")
 
 
