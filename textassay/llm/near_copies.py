@@ -43,6 +43,7 @@ SAMPLE = 4000
 HEAVY = 20_000
 BLOCK_SETS = 1024
 ROUND = 32
+ROWS = 256  # of a pair of blocks whose 64-bit numbers are held at a time
 PARITIES = 4  # a shingle, at least
 
 
@@ -198,12 +199,14 @@ def _forest(table: pa.Table) -> pa.Table:
         own = np.flatnonzero((words == w) | (words == 2 * w))
         sig = np.vstack([_folded(sigs[k][None], w) for k in own])
         sums = np.zeros((len(own), len(own)), np.int32)
-        for word in sig.T:
-            sums += np.bitwise_count(word[:, None] ^ word)
+        for lo in range(0, len(own), ROWS):
+            for word in sig.T:
+                sums[lo : lo + ROWS] += np.bitwise_count(word[lo : lo + ROWS, None] ^ word)
         apart[np.ix_(own, own)] = np.where((words[own] == w)[:, None] | (words[own] == w), sums, apart[np.ix_(own, own)])
-    bound = (n[:, None] + n) * (DEN - NUM) // (DEN + NUM)
     never = np.iinfo(np.int32).max
-    apart[(apart > bound) | (np.minimum(n[:, None], n) * DEN < np.maximum(n[:, None], n) * NUM)] = never
+    for lo in range(0, len(nodes), ROWS):
+        some, own = apart[lo : lo + ROWS], n[lo : lo + ROWS, None]
+        some[(some > (own + n) * (DEN - NUM) // (DEN + NUM)) | (np.minimum(own, n) * DEN < np.maximum(own, n) * NUM)] = never
     np.fill_diagonal(apart, never)
     root, links, asked = np.arange(len(nodes)), [], set()
     x, y = (np.searchsorted(nodes, settled[c].to_numpy()) for c in ("node", "b"))
@@ -214,7 +217,7 @@ def _forest(table: pa.Table) -> pa.Table:
     if not held.all() and len(nodes) > 1:
         near = np.where(root[:, None] == root, never, apart)
         most = min(ROUND, len(nodes) - 1)
-        likely = np.argpartition(near, most - 1, axis=1)[:, :most]
+        likely = np.concatenate([np.argpartition(near[lo : lo + ROWS], most - 1, axis=1)[:, :most] for lo in range(0, len(near), ROWS)])
         for i, j in zip(*np.nonzero(np.take_along_axis(near, likely, axis=1) < never)):
             k = likely[i, j]
             asked.add((nodes[min(i, k)], nodes[max(i, k)]))

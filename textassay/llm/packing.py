@@ -46,6 +46,8 @@ CAPACITY = 4096
 END = (1).to_bytes(4, "little")
 SHARD = 4096
 ISLANDS = 16  # of one task
+#: Words, and as many parts of words, whose tokens a Python worker keeps; some 160 bytes each.
+MOST_WORDS = 700_000
 _TOKENIZERS: dict = {}
 
 
@@ -106,7 +108,7 @@ class WordTokens:
     splits them, and each different part goes to its model once; words of other texts go through the whole tokenizer.
     Both give the tokenizer's ids. Up to `most` words and parts are kept."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -145,19 +147,19 @@ class WordTokens:
                 gc.enable()
 
 
-def _tokens(path: str) -> WordTokens:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokens(path)
-    return _TOKENIZERS[path]
+def _tokens(path: str, most: int) -> WordTokens:
+    if (path, most) not in _TOKENIZERS:
+        _TOKENIZERS[path, most] = WordTokens(path, most)
+    return _TOKENIZERS[path, most]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, block_bytes: int = 1 << 20) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, block_bytes: int = 1 << 20, most_words: int = MOST_WORDS) -> DataFrame:
     """(id, piece, start, length, ids_crc32, rid) for every piece; rid tells pieces apart."""
     path = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        tokens = _tokens(path, most_words)
         for batch in batches:
             ids, rows, block, size, took = batch.column(0), [], [], 0, 0
             texts = batch.column(1)
@@ -367,9 +369,10 @@ def _bin() -> Window:
     return Window.partitionBy("shard", "bin")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece of every document: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    each = pieces(docs, id_col, text_col, capacity, tokenizer)
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """One row per piece of every document: id, piece, start, length, ids_crc32, sequence_id, offset. Fewer `most_words` kept
+    take less of a worker's memory and more time, and give the same rows."""
+    each = pieces(docs, id_col, text_col, capacity, tokenizer, most_words=most_words)
     places = pack(each.select("rid", "length"), capacity)
     return each.join(places, "rid").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -212,7 +212,9 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_line
             total += r["n"]
     if not chosen:
         return None
-    picked = docs.sparkSession.createDataFrame(chosen, StructType([StructField("id", kind), *StructType.fromDDL("h bigint")]))
+    ids, prints = zip(*chosen)
+    told = pa.table({"id": pa.array(ids), "h": pa.array(prints, pa.int64())})  # as Arrow, which needs no Python worker to read it
+    picked = docs.sparkSession.createDataFrame(told, StructType([StructField("id", kind), *StructType.fromDDL("h bigint")]))
     rows = found.join(F.broadcast(picked), ["id", "h"]).dropDuplicates(["id", "h"]).collect()  # fit_lines lines at most
     unstage(found)
     rows.sort(key=lambda r: (r["id"], r["h"]))
@@ -243,11 +245,11 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, he
     return fit_field(docs.select(F.col(id_col).alias("id"), _utf8(text_col).alias("text")), marks)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score threshold or more, with docs' columns."""
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, block_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of docs that score threshold or more, with docs' columns. A worker takes some 20 times block_bytes for features."""
     field = _training(docs, labels, id_col, text_col, None)
     rows = docs.select(whole_row(docs))
-    scored = score_quality(rows, field, StructType([rows.schema["row"], *StructType.fromDDL("score double")]), 0, within=docs.columns.index(text_col))
+    scored = score_quality(rows, field, StructType([rows.schema["row"], *StructType.fromDDL("score double")]), 0, block_bytes, docs.columns.index(text_col))
     return scored.filter(F.col("score") >= threshold).select("row.*")
 
 
